@@ -5,13 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import p5_topn
-from panelwright.session import table
+from panelwright.llm import p1_linkage, p2_canonical, p3_splits, p4_knn, p5_topn, p6_overlap, p7_packing, p8_leaks, p9_truncation
+from panelwright.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    terms = table(spark, d, "ref_terms").where("field_name = 'drug_name'")
+    return p1_linkage.linked(table(spark, d, "drug_assays"), table(spark, d, "drug_xref"), terms)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).where("confidence >= 0.5").select("drug_id", "xref_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    subtypes = table(spark, d, "patients").select(F.lit("subtype").alias("field"), F.col("patient_id").alias("record_id"), F.col("subtype").alias("value"))
+    drugs = table(spark, d, "drug_assays").select(F.lit("drug_name").alias("field"), F.col("assay_id").alias("record_id"), F.col("drug_name").alias("value"))
+    return p2_canonical.mapped_records(subtypes.unionByName(drugs), table(spark, d, "ref_terms"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    found = p2_found(spark, d).where("term_id = 'none'")
+    return found.groupBy("field_name").agg(F.count("*").alias("records"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_splits.patient_groups(table(spark, d, "patients"))
+
+
+def p3_split(spark: SparkSession, d: str) -> DataFrame:
+    patients = table(spark, d, "patients").where("patient_id IS NOT NULL").groupBy("patient_id").agg(F.min("subtype").alias("value"))
+    terms = table(spark, d, "ref_terms").where("field_name = 'subtype'")
+    known = p2_canonical.mapped_values(patients.select(F.lit("subtype").alias("field"), "value"), terms).select("value", "term_id")
+    exact = terms.select(F.col("term_name").alias("value"), "term_id")
+    label = checkpointed(known.unionByName(exact).groupBy("value").agg(F.min("term_id").alias("label")))
+    groups = checkpointed(p3_splits.patient_groups(table(spark, d, "patients")))
+    records = patients.join(label, "value", "left").join(groups, "patient_id", "left")
+    first = groups.select(F.col("group_first").alias("patient_id"), F.lit(True).alias("leads")).distinct()
+    records = records.join(first, "patient_id", "left").select(F.col("patient_id").alias("record"), F.coalesce("group_first", F.when(F.col("leads"), F.col("patient_id"))).alias("group"), "label")
+    split = p3_splits.grouped_stratified_split(records, table(spark, d, "split_plan"))
+    return split.select(F.col("record").alias("patient_id"), F.col("group").alias("group_key"), F.col("label").alias("subtype_term"), F.col("split").alias("split_label"))
+
+
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "baseline_expression").select("sample_id", "expression_matrix_uri").distinct()
+    profiles = table(spark, d, "expression_profiles").select("expression_matrix_uri", "profile")
+    return p4_knn.most_similar(base.join(profiles, "expression_matrix_uri"), "sample_id", "profile", 64)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_similar(spark, d).select(F.least("sample_id", "other").alias("sample_a"), F.greatest("sample_id", "other").alias("sample_b")).distinct()
+
+
 def p5_top_items(spark: SparkSession, d: str) -> DataFrame:
     return p5_topn.top_n(table(spark, d, "predictions"), "sample_id", "drug_id", "predicted_value", 5)
 
@@ -20,6 +69,58 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_top_items(spark, d).select("sample_id", "drug_id")
 
 
+def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return p6_overlap.overlaps(table(spark, d, "split_folds"), table(spark, d, "patients"), table(spark, d, "samples"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_overlaps(spark, d).select("fold_id", "patient_a", "patient_b")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return p6_overlap.overlap_counts(p6_overlaps(spark, d), table(spark, d, "split_folds"), table(spark, d, "patients"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    counts = p7_packing.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return p7_packing.packed(counts, table(spark, d, "pack_targets")).withColumnRenamed("doc", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packing.fill_report(p7_containers(spark, d), table(spark, d, "pack_targets"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_passages(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select("item_id", "benchmark").distinct()
+    return p8_passages(spark, d).groupBy("item_id").agg(F.count("*").alias("docs"), F.max("words").alias("words")).join(items, "item_id")
+
+
+def p9_cut(spark: SparkSession, d: str) -> DataFrame:
+    passages = table(spark, d, "eval_items").select(F.col("item_text").alias("text")).where("text IS NOT NULL")
+    return p9_truncation.truncated(table(spark, d, "documents"), passages=passages)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_cut(spark, d).select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p9_truncation.truncation_rates(table(spark, d, "documents"), p9_cut(spark, d))
+
+
+QUERIES: list[Query] = [
+    p1_found, p1_links, p2_found, p2_unmatched, p3_found, p3_split, p4_found, p4_similar, p5_found, p5_top_items,
+    p6_found, p6_overlaps, p6_report, p7_containers, p7_report, p8_found, p8_passages, p8_items, p9_found, p9_cut, p9_rates,
+]
+
 TOP = """WITH b AS (
   SELECT sample_id, drug_id, max(predicted_value) AS predicted_value FROM predictions
   WHERE sample_id IS NOT NULL AND drug_id IS NOT NULL AND predicted_value IS NOT NULL AND NOT isnan(predicted_value) AND NOT isinf(predicted_value)
@@ -27,13 +128,36 @@ TOP = """WITH b AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY predicted_value DESC, drug_id) AS INTEGER) AS rank FROM b)
 """
 
+GROUPS = r"""WITH RECURSIVE p AS (
+  SELECT DISTINCT patient_id,
+    regexp_replace(regexp_replace(upper(regexp_replace(patient_id, '\s+', '', 'g')), '_(TUMOU?RS?|ORGANOIDS?)$', ''), '^([A-Z]+)[-_]+([0-9])', '\1\2') AS canon,
+    regexp_replace(regexp_replace(upper(regexp_replace(metadata['related_to'], '\s+', '', 'g')), '_(TUMOU?RS?|ORGANOIDS?)$', ''), '^([A-Z]+)[-_]+([0-9])', '\1\2') AS named,
+    CASE WHEN ltrim(regexp_extract(regexp_replace(upper(metadata['donor']), '[^A-Z0-9]', '', 'g'), '([0-9]+)$', 1), '0') <> ''
+      THEN regexp_extract(regexp_replace(upper(metadata['donor']), '[^A-Z0-9]', '', 'g'), '^([A-Z]*)', 1) || '-' || ltrim(regexp_extract(regexp_replace(upper(metadata['donor']), '[^A-Z0-9]', '', 'g'), '([0-9]+)$', 1), '0') END AS donor
+  FROM patients WHERE patient_id IS NOT NULL),
+e AS (
+  SELECT a.patient_id AS a, b.patient_id AS b FROM p a JOIN p b ON a.donor = b.donor OR a.named = b.canon OR b.named = a.canon OR a.canon = b.canon),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a AS patient_id, min(b) AS group_first FROM r GROUP BY 1)
+SELECT DISTINCT group_first, patient_id FROM g WHERE group_first <> patient_id"""
+
+SIMILAR = """WITH v AS (
+  SELECT DISTINCT sample_id, CAST(profile AS DOUBLE[]) AS x FROM baseline_expression JOIN expression_profiles USING (expression_matrix_uri)
+  WHERE sample_id IS NOT NULL AND len(profile) = 64 AND len(list_filter(profile, lambda y: y IS NOT NULL AND NOT isnan(y) AND NOT isinf(y))) = 64
+    AND len(list_filter(profile, lambda y: y <> 0)) > 0),
+s AS (SELECT a.sample_id AS a, b.sample_id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS c FROM v a JOIN v b ON a.sample_id <> b.sample_id),
+k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s WHERE c >= 0.8)
+SELECT DISTINCT least(a, b) AS sample_a, greatest(a, b) AS sample_b FROM k WHERE n <= 5"""
+
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_top_items": p5_top_items}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": GROUPS,
+        "p4_found": SIMILAR,
         "p5_found": TOP + "SELECT sample_id, drug_id FROM r WHERE rank <= 5",
         "p5_top_items": TOP + "SELECT sample_id, drug_id, predicted_value, rank FROM r WHERE rank <= 5",
     }
