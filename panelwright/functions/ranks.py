@@ -1,8 +1,8 @@
-"""Rank expressions over whole partitions."""
+"""Rank expressions over whole partitions, and ranks over a whole table without one big partition."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,3 +23,21 @@ def leave_one_out_mean(value: str, *keys: str) -> Column:
     w = W.partitionBy(*keys)
     n = F.count(value).over(w)
     return F.when(n > 1, (F.sum(value).over(w) - F.col(value)) / (n - 1))
+
+
+def table_avg_rank(df: DataFrame, value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds the average-tie rank of ``value`` over the whole table; null values get none.
+
+    Distinct values fall into ranges by approximate quantiles; a range's rows are ranked on their own and
+    moved by the number of rows below it, so the sort never meets in one partition.
+    """
+    cuts = df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005)
+    place = F.lit(0)
+    for c in sorted(set(cuts)):
+        place = place + (F.col(value) > c).cast("int")
+    values = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", place)
+    below = values.groupBy("_b").agg(F.sum("_n").alias("_s"))  # at most ``buckets`` rows
+    below = below.select("_b", (F.sum("_s").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).alias("_o")).fillna(0, ["_o"])
+    upto = F.sum("_n").over(W.partitionBy("_b").orderBy(value))
+    ranked = values.withColumn("_u", upto).join(F.broadcast(below), "_b").select(F.col(value).alias("_v"), (F.col("_o") + F.col("_u") - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranked, F.col(value) == F.col("_v"), "left").drop("_v")

@@ -1,30 +1,195 @@
-"""Metrics of a panel: rows (unit, item, y_true, y_pred)."""
+"""Metrics of a panel: rows (unit, item, y_true, y_pred).  Empty panels give null metrics; ties go by the item."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.ranks import avg_rank
+from panelwright.functions.ranks import avg_rank, pct_rank, table_avg_rank
 
 GRID = 9  # decimals that values are rounded to before they are ranked, so that ulp dust breaks no ties
 
 
-def within_item_rho(panel: DataFrame, *extra: str, min_n: int = 3, name: str = "rho") -> DataFrame:
-    """One Pearson correlation of the average ranks of truth and prediction, centred within each item and pooled.
+def flat(*cols: str) -> Column:
+    out = F.lit(False)
+    for c in cols:
+        out = out | (F.stddev_pop(c) < 1e-12)
+    return out
 
-    Items with fewer than ``min_n`` rows don't count; no item left gives null; a pooled side without spread
-    gives 0.  ``extra`` columns make groups of their own, one result row each.
-    """
-    keys = [*extra, "item"]
+
+def centred_ranks(panel: DataFrame, keys: list[str], min_n: int) -> DataFrame:
     w = W.partitionBy(*keys)
-    ranked = (
-        panel.select(*keys, F.round("y_true", GRID).alias("t"), F.round("y_pred", GRID).alias("q"))
+    return (
+        panel.withColumn("t", F.round("y_true", GRID))
+        .withColumn("q", F.round("y_pred", GRID))
         .withColumn("n", F.count(F.lit(1)).over(w))
         .where(F.col("n") >= min_n)
         .withColumn("rt", avg_rank("t", *keys) - (F.col("n") + 1) / 2)
         .withColumn("rq", avg_rank("q", *keys) - (F.col("n") + 1) / 2)
     )
-    rho = F.when((F.stddev_pop("rt") < 1e-12) | (F.stddev_pop("rq") < 1e-12), 0.0).otherwise(F.corr("rt", "rq"))
+
+
+def within_item_rho(panel: DataFrame, *extra: str, min_n: int = 3, name: str = "rho") -> DataFrame:
+    """One Pearson correlation of the average ranks of truth and prediction, centred within each item and pooled.
+
+    Items with fewer than ``min_n`` rows don't count; no item left gives null; a pooled side without spread
+    gives 0.  ``extra`` columns make groups of their own, one result row each.
+    """
+    ranked = centred_ranks(panel.select(*extra, "item", "y_true", "y_pred"), [*extra, "item"], min_n)
+    rho = F.when(flat("rt", "rq"), 0.0).otherwise(F.corr("rt", "rq"))
     return ranked.groupBy(*extra).agg(F.round(rho, 6).alias(name), F.count(F.lit(1)).alias("n"))
+
+
+def unit_centred(panel: DataFrame, *extra: str) -> DataFrame:
+    w = W.partitionBy(*extra, "unit")
+    return panel.select(*extra, "unit", "item", (F.col("y_true") - F.avg("y_true").over(w)).alias("y_true"), (F.col("y_pred") - F.avg("y_pred").over(w)).alias("y_pred"))
+
+
+def interaction_rho(panel: DataFrame, *extra: str, min_n: int = 3) -> DataFrame:
+    """``within_item_rho`` after each unit's means are taken off.
+
+    On a panel with missing cells the one pass leaves some of the items' own level in; see
+    ``interaction_rho_balanced`` for centring both ways.
+    """
+    return within_item_rho(unit_centred(panel, *extra), *extra, min_n=min_n, name="interaction_rho")
+
+
+def interaction_rho_balanced(panel: DataFrame, rounds: int = 12, min_n: int = 3) -> DataFrame:
+    """The interaction with unit and item means taken off in turn, so that neither level is left on unbalanced panels."""
+    p = panel.select("unit", "item", "y_true", "y_pred")
+    for _ in range(rounds):
+        for key in ("unit", "item"):
+            w = W.partitionBy(key)
+            p = p.select("unit", "item", (F.col("y_true") - F.avg("y_true").over(w)).alias("y_true"), (F.col("y_pred") - F.avg("y_pred").over(w)).alias("y_pred"))
+    return within_item_rho(p.select("item", F.round("y_true", 7).alias("y_true"), F.round("y_pred", 7).alias("y_pred")), min_n=min_n, name="interaction_rho")
+
+
+def global_rho(panel: DataFrame) -> DataFrame:
+    """Spearman's correlation over all rows."""
+    p = panel.select(F.round("y_true", GRID).alias("t"), F.round("y_pred", GRID).alias("q"))
+    p = table_avg_rank(table_avg_rank(p, "t", "rt"), "q", "rq")
+    return p.agg(F.round(F.corr("rt", "rq"), 6).alias("global_rho"), F.count(F.lit(1)).alias("n"))
+
+
+def regret_by_unit(panel: DataFrame, k: int, *extra: str) -> DataFrame:
+    """Per unit: how far the best truth among the k lowest predictions is from the unit's best, as a share of its range."""
+    keys = [*extra, "unit"]
+    rn = F.row_number().over(W.partitionBy(*keys).orderBy("y_pred", "item"))
+    g = panel.withColumn("rn", rn).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("y_true").alias("lo"), F.max("y_true").alias("hi"), F.min(F.when(F.col("rn") <= k, F.col("y_true"))).alias("got")
+    )
+    return g.where((F.col("n") >= 2) & (F.col("hi") > F.col("lo"))).select(*keys, ((F.col("got") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("regret"))
+
+
+def regret_at_k(panel: DataFrame, *ks: int) -> DataFrame:
+    """(k, regret, units): the mean normalised regret; units with fewer than two items or no range don't count."""
+    out = None
+    for k in ks:
+        one = regret_by_unit(panel, k).agg(F.lit(k).alias("k"), F.round(F.avg("regret"), 6).alias("regret"), F.count(F.lit(1)).alias("units"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rho_by_item(panel: DataFrame, *extra: str, min_n: int = 3) -> DataFrame:
+    """(item, rho): Spearman's correlation within each item; null where a side has no spread."""
+    ranked = centred_ranks(panel, [*extra, "item"], min_n)
+    return ranked.groupBy(*extra, "item").agg(F.when(~flat("rt", "rq"), F.corr("rt", "rq")).alias("rho"))
+
+
+def per_item_spearman(panel: DataFrame, min_n: int = 3) -> DataFrame:
+    """The median over items of their Spearman correlations, items without one left out."""
+    r = rho_by_item(panel, min_n=min_n).where("rho IS NOT NULL")
+    return r.agg(F.round(F.percentile("rho", F.lit(0.5)), 6).alias("median_rho"), F.count(F.lit(1)).alias("items"))
+
+
+def within_item_percentile(panel: DataFrame) -> DataFrame:
+    return panel.select("unit", "item", F.round(pct_rank("y_true", "item"), 6).alias("pct"))
+
+
+def top_k_hit_rate(panel: DataFrame, k: int, key: str) -> DataFrame:
+    """The share of positives among the k highest predictions; null without positives."""
+    top = panel.orderBy(F.desc("y_pred"), key).limit(k)  # the feature is the top k
+    hits = top.agg(F.sum(F.when(F.col("y_true") == 1, 1).otherwise(0)).alias("hits"))
+    total = panel.agg(F.sum(F.when(F.col("y_true") == 1, 1).otherwise(0)).alias("positives"))
+    return hits.crossJoin(total).select("hits", "positives", F.when(F.col("positives") > 0, F.round(F.col("hits") / F.col("positives"), 6)).alias("hit_rate"))
+
+
+def brier(panel: DataFrame) -> DataFrame:
+    return panel.agg(F.round(F.avg((F.col("y_pred") - F.col("y_true")) * (F.col("y_pred") - F.col("y_true"))), 6).alias("brier"), F.count(F.lit(1)).alias("n"))
+
+
+def calibration_bins(panel: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, confidence, accuracy): equal bins of [0, 1], an edge belongs to the bin below it."""
+    at = F.lit(0)
+    for i in range(1, bins):
+        at = at + (F.col("y_pred") > F.lit(i / bins)).cast("int")
+    return panel.withColumn("bin", at).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("confidence"), F.avg("y_true").alias("accuracy"))
+
+
+def expected_calibration_error(panel: DataFrame, bins: int = 10) -> DataFrame:
+    b = calibration_bins(panel, bins)
+    return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
+
+
+def regret_recall(panel: DataFrame, k: int, *taus: float) -> DataFrame:
+    """Per unit with more than k items: raw and normalised regret (no range counts as 1), and for the i-th tau whether an item at or below it was there and was got."""
+    rn = F.row_number().over(W.partitionBy("unit").orderBy("y_pred", "item"))
+    got = F.col("rn") <= k
+    flags = [x for i, t in enumerate(taus) for x in (F.max((F.col("y_true") <= t).cast("int")).alias(f"eligible_{i}"), F.max((got & (F.col("y_true") <= t)).cast("int")).alias(f"hit_{i}"))]
+    g = panel.withColumn("rn", rn).groupBy("unit").agg(
+        F.count(F.lit(1)).alias("n"), F.min("y_true").alias("lo"), F.max("y_true").alias("hi"), F.min(F.when(got, F.col("y_true"))).alias("best"), *flags
+    )
+    g = g.where((F.col("n") > k) | F.lit(k == 1))
+    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
+    raw = F.col("best") - F.col("lo")
+    return g.select("unit", F.round(raw, 6).alias("regret"), F.round(raw / span, 6).alias("regret_norm"), *[c for c in g.columns if c.startswith(("eligible_", "hit_"))])
+
+
+def personalization(panel: DataFrame, min_shared: int = 4) -> DataFrame:
+    """(pairs, mean_rho): the mean Spearman correlation of two units' predictions over the items they share; constant sides count as 1.
+
+    Every pair of units is asked for, so the rows of an item meet each other; items are few beside units.
+    """
+    p = panel.select("unit", "item", F.round("y_pred", GRID).alias("q"))
+    a, b = p.toDF("u", "item", "x"), p.toDF("v", "item", "y")
+    pair = a.join(b, "item").where("u < v")
+    w = W.partitionBy("u", "v")
+    ranked = pair.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_shared).withColumn("rx", avg_rank("x", "u", "v")).withColumn("ry", avg_rank("y", "u", "v"))
+    each = ranked.groupBy("u", "v").agg(F.when(flat("rx", "ry"), 1.0).otherwise(F.corr("rx", "ry")).alias("rho"))
+    return each.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("rho"), 6).alias("mean_rho"))
+
+
+def window_fit(panel: DataFrame, margin: float = 0.05) -> DataFrame:
+    """Pearson overall and inside the observed range of the truth widened by ``margin``, rows outside, and the line through those inside."""
+    r = panel.agg(F.min("y_true").alias("lo"), F.max("y_true").alias("hi"))
+    p = panel.crossJoin(F.broadcast(r)).withColumn("pad", (F.col("hi") - F.col("lo")) * margin)
+    inside = F.col("y_pred").between(F.col("lo") - F.col("pad"), F.col("hi") + F.col("pad"))
+    t, q = F.when(inside, F.col("y_true")), F.when(inside, F.col("y_pred"))
+    return p.agg(
+        F.round(F.corr("y_true", "y_pred"), 6).alias("r_all"), F.round(F.corr(t, q), 6).alias("r_inside"), F.sum((~inside).cast("int")).alias("outside"),
+        F.round(F.regr_slope(q, t), 6).alias("slope"), F.round(F.regr_intercept(q, t), 6).alias("intercept"),
+    )
+
+
+def split_half(pairs: DataFrame, min_features: int = 5) -> DataFrame:
+    """(line, drug, n, r): Pearson of two halves' profiles (a, b) over the features both have; null without spread."""
+    both = pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    r = both.groupBy("line", "drug").agg(F.count(F.lit(1)).alias("n"), F.when(~flat("a", "b"), F.corr("a", "b")).alias("r"))
+    return r.where(F.col("n") >= min_features)
+
+
+def reliability(halves: DataFrame) -> DataFrame:
+    """Quartiles and share above 0 of the halves' correlations, and the mean stepped up to the full length."""
+    r = halves.where("r IS NOT NULL")
+    q = [F.round(F.percentile("r", F.lit(p)), 6).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return r.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("r"), 6).alias("mean_r"), *q, F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("positive"), F.round(2 * F.avg("r") / (1 + F.avg("r")), 6).alias("stepped_up"))
+
+
+def signed_rank(pairs: DataFrame) -> DataFrame:
+    """Wilcoxon's signed ranks of (a, b), zeros left out: n, the sums of ranks of positive and negative differences, and the normal z."""
+    d = pairs.select(F.round(F.col("a") - F.col("b"), GRID).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
+    r = table_avg_rank(d, "m", "r")
+    g = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"))
+    n = F.col("n")
+    return g.select("n", "plus", "minus", F.round((F.col("plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))

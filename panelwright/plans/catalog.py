@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from panelwright.operators import metrics
-from panelwright.plans import panels as P
-
-Query = Callable[[SparkSession, str], DataFrame]
+from panelwright.plans import deltas, matrix, metrics, models, relational, selection, text, transfer  # noqa: F401  they register
+from panelwright.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"a7_within_item_rho": lambda s, d: metrics.within_item_rho(P.panel_dense(s, d))}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "a7_within_item_rho": f"""WITH {P.DENSE}, g AS (SELECT *, count(*) OVER (PARTITION BY item) AS n FROM dense),
-r AS (SELECT rank() OVER (PARTITION BY item ORDER BY y_true) + (count(*) OVER (PARTITION BY item, y_true) - 1) / 2.0 - (n + 1) / 2.0 AS rt,
-             rank() OVER (PARTITION BY item ORDER BY y_pred) + (count(*) OVER (PARTITION BY item, y_pred) - 1) / 2.0 - (n + 1) / 2.0 AS rq FROM g WHERE n >= 3)
-SELECT round(CASE WHEN stddev_pop(rt) < 1e-12 OR stddev_pop(rq) < 1e-12 THEN 0.0 ELSE corr(rt, rq) END, 6) AS rho, count(*) AS n FROM r"""
-    }
+    return dict(SQL)
