@@ -123,7 +123,7 @@ QUERIES: list[Query] = [
 
 TOP = """WITH b AS (
   SELECT sample_id, drug_id, max(predicted_value) AS predicted_value FROM predictions
-  WHERE sample_id IS NOT NULL AND drug_id IS NOT NULL AND predicted_value IS NOT NULL AND NOT isnan(predicted_value) AND NOT isinf(predicted_value)
+  WHERE sample_id IS NOT NULL AND drug_id IS NOT NULL AND CAST(predicted_value AS VARCHAR) NOT IN ('nan', 'inf', '-inf')
   GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY predicted_value DESC, drug_id) AS INTEGER) AS rank FROM b)
 """
