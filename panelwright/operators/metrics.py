@@ -11,6 +11,11 @@ from panelwright.functions.ranks import avg_rank, pct_rank, table_avg_rank
 GRID = 9  # decimals that values are rounded to before they are ranked, so that ulp dust breaks no ties
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation; null where a side has no spread."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def flat(*cols: str) -> Column:
     out = F.lit(False)
     for c in cols:
@@ -37,7 +42,7 @@ def within_item_rho(panel: DataFrame, *extra: str, min_n: int = 3, name: str = "
     gives 0.  ``extra`` columns make groups of their own, one result row each.
     """
     ranked = centred_ranks(panel.select(*extra, "item", "y_true", "y_pred"), [*extra, "item"], min_n)
-    rho = F.when(flat("rt", "rq"), 0.0).otherwise(F.corr("rt", "rq"))
+    rho = F.when(flat("rt", "rq"), 0.0).otherwise(pearson("rt", "rq"))
     return ranked.groupBy(*extra).agg(F.round(rho, 6).alias(name), F.count(F.lit(1)).alias("n"))
 
 
@@ -69,7 +74,7 @@ def global_rho(panel: DataFrame) -> DataFrame:
     """Spearman's correlation over all rows."""
     p = panel.select(F.round("y_true", GRID).alias("t"), F.round("y_pred", GRID).alias("q"))
     p = table_avg_rank(table_avg_rank(p, "t", "rt"), "q", "rq")
-    return p.agg(F.round(F.corr("rt", "rq"), 6).alias("global_rho"), F.count(F.lit(1)).alias("n"))
+    return p.agg(F.round(pearson("rt", "rq"), 6).alias("global_rho"), F.count(F.lit(1)).alias("n"))
 
 
 def regret_by_unit(panel: DataFrame, k: int, *extra: str) -> DataFrame:
@@ -94,7 +99,7 @@ def regret_at_k(panel: DataFrame, *ks: int) -> DataFrame:
 def rho_by_item(panel: DataFrame, *extra: str, min_n: int = 3) -> DataFrame:
     """(item, rho): Spearman's correlation within each item; null where a side has no spread."""
     ranked = centred_ranks(panel, [*extra, "item"], min_n)
-    return ranked.groupBy(*extra, "item").agg(F.when(~flat("rt", "rq"), F.corr("rt", "rq")).alias("rho"))
+    return ranked.groupBy(*extra, "item").agg(F.when(~flat("rt", "rq"), pearson("rt", "rq")).alias("rho"))
 
 
 def per_item_spearman(panel: DataFrame, min_n: int = 3) -> DataFrame:
@@ -156,7 +161,7 @@ def personalization(panel: DataFrame, min_shared: int = 4) -> DataFrame:
     pair = a.join(b, "item").where("u < v")
     w = W.partitionBy("u", "v")
     ranked = pair.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_shared).withColumn("rx", avg_rank("x", "u", "v")).withColumn("ry", avg_rank("y", "u", "v"))
-    each = ranked.groupBy("u", "v").agg(F.when(flat("rx", "ry"), 1.0).otherwise(F.corr("rx", "ry")).alias("rho"))
+    each = ranked.groupBy("u", "v").agg(F.when(flat("rx", "ry"), 1.0).otherwise(pearson("rx", "ry")).alias("rho"))
     return each.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("rho"), 6).alias("mean_rho"))
 
 
@@ -166,16 +171,17 @@ def window_fit(panel: DataFrame, margin: float = 0.05) -> DataFrame:
     p = panel.crossJoin(F.broadcast(r)).withColumn("pad", (F.col("hi") - F.col("lo")) * margin)
     inside = F.col("y_pred").between(F.col("lo") - F.col("pad"), F.col("hi") + F.col("pad"))
     t, q = F.when(inside, F.col("y_true")), F.when(inside, F.col("y_pred"))
+    slope = F.try_divide(F.covar_pop(q, t), F.var_pop(t))
     return p.agg(
-        F.round(F.corr("y_true", "y_pred"), 6).alias("r_all"), F.round(F.corr(t, q), 6).alias("r_inside"), F.sum((~inside).cast("int")).alias("outside"),
-        F.round(F.regr_slope(q, t), 6).alias("slope"), F.round(F.regr_intercept(q, t), 6).alias("intercept"),
+        F.round(pearson("y_true", "y_pred"), 6).alias("r_all"), F.round(pearson(t, q), 6).alias("r_inside"), F.sum((~inside).cast("int")).alias("outside"),
+        F.round(slope, 6).alias("slope"), F.round(F.avg(q) - slope * F.avg(t), 6).alias("intercept"),
     )
 
 
 def split_half(pairs: DataFrame, min_features: int = 5) -> DataFrame:
     """(line, drug, n, r): Pearson of two halves' profiles (a, b) over the features both have; null without spread."""
     both = pairs.where("a IS NOT NULL AND b IS NOT NULL")
-    r = both.groupBy("line", "drug").agg(F.count(F.lit(1)).alias("n"), F.when(~flat("a", "b"), F.corr("a", "b")).alias("r"))
+    r = both.groupBy("line", "drug").agg(F.count(F.lit(1)).alias("n"), F.when(~flat("a", "b"), pearson("a", "b")).alias("r"))
     return r.where(F.col("n") >= min_features)
 
 

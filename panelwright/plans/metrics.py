@@ -12,11 +12,11 @@ from panelwright.session import table
 CENTRED = "c AS (SELECT unit, item, y_true - avg(y_true) OVER (PARTITION BY unit) AS y_true, y_pred - avg(y_pred) OVER (PARTITION BY unit) AS y_pred FROM {})"
 
 
-@query("a1_group_aggregates", """SELECT l_suppkey AS unit, count(*) AS n, count(DISTINCT l_partkey) AS items, round(avg(l_discount), 6) AS mean_discount, sum(l_quantity) AS total
+@query("a1_group_aggregates", """SELECT l_suppkey AS unit, count(*) AS n, count(DISTINCT l_partkey) AS items, round(avg(l_discount), 10) AS mean_discount, sum(l_quantity) AS total
 FROM lineitem GROUP BY 1""")
 def a1(s, d):
     g = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("items"), F.round(F.avg("l_discount"), 6).alias("mean_discount"), F.sum("l_quantity").alias("total"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("items"), F.round(F.avg("l_discount"), 10).alias("mean_discount"), F.sum("l_quantity").alias("total"))
 
 
 query("a7_within_item_rho", f"WITH {P.DENSE}, {P.ranks_sql('dense', 'item')} SELECT {P.RHO} AS rho, count(*) AS n FROM r")(lambda s, d: M.within_item_rho(P.dense(s, d)))

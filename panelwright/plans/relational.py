@@ -118,8 +118,8 @@ def r19(s, d):
     return table(s, d, "drug_assays").select("drug_name", F.lower("drug_name").alias("name")).distinct().join(f, "name").drop("name")
 
 
-@query("r20_fallback_join", """WITH k AS (SELECT DISTINCT drug_id, pubchem_cid AS cid, left(upper(trim(inchikey)), 14) AS block FROM drug_assays WHERE pubchem_cid > 0),
-c AS (SELECT pubchem_cid AS cid, min(xref_id) AS x FROM drug_xref WHERE pubchem_cid > 0 GROUP BY 1), b AS (SELECT left(upper(trim(inchikey)), 14) AS block, min(xref_id) AS x FROM drug_xref WHERE inchikey IS NOT NULL GROUP BY 1)
+@query("r20_fallback_join", """WITH k AS (SELECT DISTINCT drug_id, pubchem_cid AS cid, left(upper(trim(inchikey, ' ')), 14) AS block FROM drug_assays WHERE pubchem_cid > 0),
+c AS (SELECT pubchem_cid AS cid, min(xref_id) AS x FROM drug_xref WHERE pubchem_cid > 0 GROUP BY 1), b AS (SELECT left(upper(trim(inchikey, ' ')), 14) AS block, min(xref_id) AS x FROM drug_xref WHERE inchikey IS NOT NULL GROUP BY 1)
 SELECT drug_id, k.cid, k.block, coalesce(c.x, b.x) AS xref_id FROM k LEFT JOIN c ON k.cid = c.cid LEFT JOIN b ON k.block = b.block""")
 def r20(s, d):
     block = F.substring(F.upper(F.trim("inchikey")), 1, 14).alias("block")
@@ -166,7 +166,7 @@ query("r26_filtered_design", """SELECT DISTINCT patient_id, tissue_of_origin FRO
 query("r27_thick_groups", "SELECT assay_id, drug_id FROM (SELECT assay_id, drug_id, count(*) OVER (PARTITION BY drug_id) AS n FROM drug_assays) WHERE n >= 20")(
     lambda s, d: R.thick_groups(table(s, d, "drug_assays").select("assay_id", "drug_id"), ["drug_id"], 20)
 )
-query("r29_controls", """SELECT drug_id, count(*) AS n FROM drug_assays WHERE lower(trim(drug_name)) IN ('dmso', 'pbs', 'vehicle', 'no drug', 'media only') GROUP BY 1""")(
+query("r29_controls", """SELECT drug_id, count(*) AS n FROM drug_assays WHERE lower(trim(drug_name, ' ')) IN ('dmso', 'pbs', 'vehicle', 'no drug', 'media only') GROUP BY 1""")(
     lambda s, d: table(s, d, "drug_assays").where(F.lower(F.trim("drug_name")).isin("dmso", "pbs", "vehicle", "no drug", "media only")).groupBy("drug_id").agg(F.count(F.lit(1)).alias("n"))
 )
 query("r30_one_hot", """SELECT patient_id, CAST(subtype_granularity = 'fine' AS INTEGER) AS fine, CAST(subtype_granularity = 'coarse' AS INTEGER) AS coarse, CAST(subtype_granularity IS NULL AS INTEGER) AS missing FROM (SELECT DISTINCT patient_id, subtype_granularity FROM patients)""")(
@@ -212,7 +212,7 @@ def narrow_then_wide(s, d):
 query("s9_pushed_filter", "SELECT drug_id, count(*) AS n FROM drug_assays WHERE drug_id IN (SELECT drug_id FROM predictions GROUP BY 1 HAVING count(*) > 100) GROUP BY 1")(
     lambda s, d: table(s, d, "drug_assays").join(table(s, d, "predictions").groupBy("drug_id").count().where("count > 100"), "drug_id", "left_semi").groupBy("drug_id").agg(F.count(F.lit(1)).alias("n"))
 )
-query("s10_gene_sets", """SELECT term_id, trim(x) AS member FROM (SELECT term_id, unnest(string_split(term_name || '; ' || coalesce(synonyms, ''), ';')) AS x FROM ref_terms) WHERE trim(x) <> ''""")(
+query("s10_gene_sets", """SELECT term_id, trim(x, ' ') AS member FROM (SELECT term_id, unnest(string_split(term_name || '; ' || coalesce(synonyms, ''), ';')) AS x FROM ref_terms) WHERE trim(x, ' ') <> ''""")(
     lambda s, d: table(s, d, "ref_terms").select("term_id", F.explode(F.split(F.concat_ws("; ", "term_name", F.coalesce("synonyms", F.lit(""))), ";")).alias("x")).select("term_id", F.trim("x").alias("member")).where("member <> ''")
 )
 query("w8_leave_one_out_mean", f"WITH {P.DENSE}, g AS (SELECT unit, item, y_true, sum(y_true) OVER (PARTITION BY item) AS t, count(*) OVER (PARTITION BY item) AS n FROM dense) SELECT unit, item, round((t - y_true) / (n - 1), 6) AS loo FROM g WHERE n > 1")(

@@ -50,7 +50,7 @@ SELECT DISTINCT assay_id, TRY_CAST(nullif(regexp_extract(w, ',\s*([0-9.eE+-]+)\s
 query("f9_first_of_many", """SELECT term_id, TRY_CAST(TRY_CAST(trim(split_part(regexp_replace(coalesce(synonyms, 'none'), '[^0-9;]', '', 'g'), ';', 1)) AS DOUBLE) AS BIGINT) AS first FROM ref_terms""")(
     lambda s, d: table(s, d, "ref_terms").select("term_id", T.first_of_many(F.regexp_replace(F.regexp_replace(F.coalesce("synonyms", F.lit("none")), "[^0-9;]", ""), ";", ",")).alias("first"))
 )
-query("f10_nullable", """SELECT assay_id, CASE WHEN lower(trim(drugbank_id)) IN ('', 'nan', 'none', 'null', 'n/a', '-') THEN NULL ELSE trim(drugbank_id) END AS bank,
+query("f10_nullable", """SELECT assay_id, CASE WHEN lower(trim(drugbank_id, ' ')) IN ('', 'nan', 'none', 'null', 'n/a', '-') THEN NULL ELSE trim(drugbank_id, ' ') END AS bank,
   CASE WHEN CAST(response_value AS VARCHAR) <> 'nan' THEN response_value END AS value FROM drug_assays""")(
     lambda s, d: table(s, d, "drug_assays").select("assay_id", T.text_or_null(F.col("drugbank_id")).alias("bank"), T.number_or_null(F.col("response_value")).alias("value"))
 )

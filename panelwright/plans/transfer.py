@@ -76,8 +76,8 @@ def r5(s, d):
     return rows.groupBy("line", F.col("p_type").alias("drug")).agg(F.round(F.avg("l_discount"), 6).alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-@query("r23_aliases", """WITH t AS (SELECT term_id, lower(term_name) AS name, term_name FROM ref_terms WHERE field_name = 'drug_name'), al AS (SELECT term_id, lower(trim(unnest(string_split(synonyms, ';')))) AS name FROM ref_terms WHERE field_name = 'drug_name' AND synonyms IS NOT NULL),
-one AS (SELECT name, min(term_id) AS term_id FROM al GROUP BY 1 HAVING count(DISTINCT term_id) = 1), v AS (SELECT DISTINCT lower(trim(drug_name)) AS name FROM drug_assays)
+@query("r23_aliases", """WITH t AS (SELECT term_id, lower(term_name) AS name, term_name FROM ref_terms WHERE field_name = 'drug_name'), al AS (SELECT term_id, lower(trim(unnest(string_split(synonyms, ';')), ' ')) AS name FROM ref_terms WHERE field_name = 'drug_name' AND synonyms IS NOT NULL),
+one AS (SELECT name, min(term_id) AS term_id FROM al GROUP BY 1 HAVING count(DISTINCT term_id) = 1), v AS (SELECT DISTINCT lower(trim(drug_name, ' ')) AS name FROM drug_assays)
 SELECT v.name, coalesce(t.term_id, one.term_id) AS term_id, CASE WHEN t.term_id IS NOT NULL THEN 'name' WHEN one.term_id IS NOT NULL THEN 'alias' END AS via FROM v LEFT JOIN t USING (name) LEFT JOIN one USING (name) WHERE coalesce(t.term_id, one.term_id) IS NOT NULL""")
 def r23(s, d):
     terms = table(s, d, "ref_terms").where("field_name = 'drug_name'")
