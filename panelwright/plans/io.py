@@ -27,6 +27,7 @@ def t1(s, d):
 @query("st_event_windows", """SELECT epoch(date_trunc('day', ts))::BIGINT AS day_s, event_type, count(value) AS n, round(avg(value), 5) AS mean FROM events GROUP BY 1, 2""")
 def st(s, d):
     path = f"{d}/events.parquet"
-    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern, since a stream's plain path must be a folder
+    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
     out = run_to_table(windowed_means(stream, "ts", "value", "event_type"), ["window_start", "event_type"])
     return out.select(F.unix_seconds("window_start").alias("day_s"), "event_type", "n", F.round(F.col("total") / F.col("n"), 5).alias("mean"))
