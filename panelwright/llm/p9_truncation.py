@@ -30,12 +30,15 @@ MEASURES = {
     "html_text": lambda s: len(html.escape(s, False)),
     "json": lambda s: len(json.dumps(s)) - 2,
     "json_utf8": lambda s: len(json.dumps(s, ensure_ascii=False).encode("utf-8", "replace")) - 2,
+    "words": lambda s: len(s.split()),
     "crlf": lambda s: len(s) + s.count("\n"),
     "crlf_utf8": lambda s: len(s.encode("utf-8", "replace")) + s.count("\n"),
 }
 BYTES = ("utf8", "html_utf8", "json_utf8", "crlf_utf8")  # a cut may fall before a character of several bytes
 DOTS = re.compile(r"(?:\.{2,}|…)\s*$")
 CLOSED = re.compile(r"""(?:[.!?:;)\]}>*~]|[.!?]["'»”’*_]+)\s*$""")
+# at a limit only these are an end: a sentence's mark with what may close after it, or the close of a signature
+ENDED = re.compile(r"""(?:[.!?]["'»”’)\]]*(?:\s|</?[a-zA-Z][^<>]*>|\[/[a-zA-Z]+\])*|\*{3}\s*|\[/size\]\s*)$""")
 SEPARATOR = re.compile(r"^\s*(?:-{2,}|_{3,}|\*{3,}|<hr\s*/?>|\[size|={3,}|~{3,})", re.M)
 TOKEN = re.compile(r"[^\W_]+(?:[._'’-][^\W_]+)*|[.!?…]+|\n\s*\n|\n")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|\[/?[a-zA-Z*]+(?:=[^\[\]]{0,200})?\]")
@@ -72,7 +75,7 @@ def ending(text: str) -> dict:
         if t in ".|" or len(last) == MOST:
             break
         last.insert(0, t)
-    return {"dots": dots, "closed": closed, "signed": signed, "comma": bare.endswith(","), "last": last, "token": re.split(r"\s", bare)[-1] if bare else ""}
+    return {"dots": dots, "closed": closed, "signed": signed, "comma": bare.endswith(","), "ended": bool(ENDED.search(bare)), "last": last, "token": re.split(r"\s", bare)[-1] if bare else ""}
 
 
 def endings(docs: DataFrame) -> DataFrame:
@@ -86,10 +89,10 @@ def endings(docs: DataFrame) -> DataFrame:
                 e = ending(t)
                 core = DOTS.sub("", t) if e["dots"] else t
                 half = bool(isinstance(a, str) and 3 <= len(e["token"]) < len(a) and a.startswith(e["token"]) and re.search("[0-9._]", e["token"]))
-                rows.append((i, s, {m: f(core) for m, f in MEASURES.items()}, e["dots"], e["closed"], e["signed"], e["comma"], e["last"], half, xxhash.xxh64_intdigest(t[-200:]) >> 1))
-            yield pd.DataFrame(rows, columns=["id", "source", "lengths", "dots", "closed", "signed", "comma", "last", "half", "text_end"])
+                rows.append((i, s, {m: f(core) for m, f in MEASURES.items()}, e["dots"], e["closed"], e["signed"], e["comma"], e["ended"], e["last"], half, xxhash.xxh64_intdigest(t[-200:]) >> 1))
+            yield pd.DataFrame(rows, columns=["id", "source", "lengths", "dots", "closed", "signed", "comma", "ended", "last", "half", "text_end"])
 
-    return docs.mapInPandas(run, f"id {kind}, source string, lengths map<string,int>, dots boolean, closed boolean, signed boolean, comma boolean, last array<string>, half boolean, text_end long")
+    return docs.mapInPandas(run, f"id {kind}, source string, lengths map<string,int>, dots boolean, closed boolean, signed boolean, comma boolean, ended boolean, last array<string>, half boolean, text_end long")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     at = limits(ends)
     open_ends = ends.where(~F.col("closed"))
     slack = F.when(F.col("measure").isin(*BYTES), 3).otherwise(0)
-    sized = open_ends.select("id", "source", "signed", F.explode("lengths").alias("measure", "size"))
+    sized = ends.where(~F.col("ended")).select("id", "source", "signed", F.explode("lengths").alias("measure", "size"))
     cut = sized.join(F.broadcast(at), ["source", "measure"]).where((F.col("size") <= F.col("length")) & (F.col("size") >= F.col("length") - slack)).select("id").distinct()
     judged = open_ends.where(~F.col("dots") & (F.size("last") > 0))
     counts = checkpointed(word_counts(own))
