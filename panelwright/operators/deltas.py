@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.operators.matrix import scaled
+from panelwright.operators import models as L
+from panelwright.operators.matrix import reindexed, scaled, z_scored
+from panelwright.operators.splits import hashed_folds
+from panelwright.session import checkpointed
 
 
 def pseudobulk(cells: DataFrame, *keys: str) -> DataFrame:
@@ -69,6 +72,55 @@ def generated_deltas(made: DataFrame, base: DataFrame) -> DataFrame:
     return once.join(base.withColumnRenamed("value", "base"), ["line", "feature"]).select("line", "drug", "feature", (F.col("value") - F.col("base")).alias("value"))
 
 
+def measured_pairs(rows: DataFrame, symbols: DataFrame, cap: int) -> DataFrame:
+    """(line, drug, feature, value): mean treated less mean control of the line, features under their symbols.
+
+    ``rows``: line, drug, is_control, replicate, feature, value, filtered beforehand to what is to be compared;
+    of each line and drug the first ``cap`` replicates count, in the order of their ids.  ``symbols``: feature,
+    symbol; features without a symbol are left out, and of several with one symbol the smallest stays.
+    """
+    reps = rows.select("line", "drug", "replicate").distinct()
+    kept = reps.withColumn("r", F.row_number().over(W.partitionBy("line", "drug").orderBy("replicate"))).where(F.col("r") <= cap).drop("r")
+    named = symbols.where(F.length("symbol") > 0).groupBy("symbol").agg(F.min("feature").alias("feature"))
+    means = rows.join(kept, ["line", "drug", "replicate"], "left_semi").join(named, "feature").groupBy("line", "drug", "is_control", F.col("symbol").alias("feature")).agg(F.avg("value").alias("value"))
+    control = means.where("is_control").select("line", "feature", F.col("value").alias("base"))
+    return means.where(~F.col("is_control")).join(control, ["line", "feature"]).select("line", "drug", "feature", (F.col("value") - F.col("base")).alias("value"))
+
+
+def global_deltas(rows: DataFrame) -> DataFrame:
+    """(drug, feature, value): the drug's mean over all lines less the mean of all controls."""
+    base = rows.where("is_control").groupBy("feature").agg(F.avg("value").alias("base"))
+    treated = rows.where(~F.col("is_control")).groupBy("drug", "feature").agg(F.avg("value").alias("value"))
+    return treated.join(base, "feature").select("drug", "feature", (F.col("value") - F.col("base")).alias("value"))
+
+
+def filled_by_drug(values: DataFrame) -> DataFrame:
+    """(drug, line, feature, value): every line of a drug along all features of that drug, zero where none is stored."""
+    grid = values.select("drug", "line").distinct().join(values.select("drug", "feature").distinct(), "drug")
+    return grid.join(values.select("drug", "line", "feature", "value"), ["drug", "line", "feature"], "left").fillna(0.0, ["value"])
+
+
+def conditional_deltas(rows: DataFrame, base: DataFrame, asked: DataFrame, panel: list[str], k: int, alpha: float = 1.0, min_lines: int = 4) -> DataFrame:
+    """(line, drug, feature, value): deltas, in spreads of the control, for the lines of another platform.
+
+    For each drug and feature a ridge leads from the first ``k`` components of a line's control profile to its
+    delta; both platforms are z-scored by their own lines, so that their profiles compare.  The slopes alone are
+    carried over.  ``base``: line, feature, value of the other platform; ``asked``: line, drug.  A drug measured in
+    fewer than ``min_lines`` lines gives nothing.  ``panel`` is a vocabulary of features.
+    """
+    control = rows.where("is_control").groupBy("line", "feature").agg(F.avg("value").alias("value"))
+    spread = control.groupBy("feature").agg(F.stddev_pop("value").alias("sd")).withColumn("sd", F.when(F.col("sd") < 1e-12, 1.0).otherwise(F.col("sd")))
+    profile = checkpointed(reindexed(z_scored(control.withColumnRenamed("line", "sample")), panel))
+    mean, directions, _ = L.components(profile, "vector", k)
+    x = L.on_components(profile, "vector", mean, directions).select(F.col("sample").alias("line"), "x")
+    treated = rows.where(~F.col("is_control")).groupBy("line", "drug", "feature").agg(F.avg("value").alias("t"))
+    delta = treated.join(control, ["line", "feature"]).join(spread, "feature").select("line", "drug", "feature", ((F.col("t") - F.col("value")) / F.col("sd")).alias("y"))
+    folds = hashed_folds(x, 5, "line").withColumnRenamed("unit", "line")
+    w = L.fitted(delta.join(x, "line").join(folds, "line"), ["drug", "feature"], "x", "y", "fold", alphas=(alpha,), min_n=min_lines)
+    other = L.on_components(reindexed(z_scored(base.withColumnRenamed("line", "sample")), panel), "vector", mean, directions).select(F.col("sample").alias("line"), "x")
+    return asked.distinct().join(other, "line").join(w, "drug").select("line", "drug", "feature", (L.predicted() - F.col("w")[0]).alias("value"))
+
+
 def dense_rows(deltas: DataFrame, panel: list[str]) -> DataFrame:
     """(line, drug, delta): a vector along ``panel`` for every pair, zero where nothing is stored."""
     cell = F.map_from_entries(F.collect_list(F.struct("feature", "value")))

@@ -199,3 +199,9 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
     g = r.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"))
     n = F.col("n")
     return g.select("n", "plus", "minus", F.round((F.col("plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))
+
+
+def row_correlations(pairs: DataFrame, *keys: str, x: str = "y_true", y: str = "y_pred") -> DataFrame:
+    """(keys, r): the correlation of two aligned rows; 0 where either has no spread."""
+    g = pairs.groupBy(*keys).agg(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
+    return g.select(*keys, F.when((F.col("sx") < 1e-12) | (F.col("sy") < 1e-12), 0.0).otherwise(F.col("c") / (F.col("sx") * F.col("sy"))).alias("r"))

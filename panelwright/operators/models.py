@@ -146,16 +146,20 @@ def components(df: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.ndarray, n
     return mean, v, values[order]
 
 
-def reduced(df: DataFrame, x: str, k: int, name: str = "x") -> DataFrame:
-    """``df`` with ``name`` the scores on the first ``k`` principal components."""
-    mean, v, _ = components(df, x, k)
-    rows = [[float(a) for a in col] for col in v.T]
+def on_components(df: DataFrame, x: str, mean: np.ndarray, directions: np.ndarray, name: str = "x") -> DataFrame:
+    """``df`` with ``name`` the scores of ``x`` along directions that another table may have given."""
     off = [float(a) for a in mean]
 
     def score(row):
         return F.aggregate(F.zip_with(F.zip_with(F.col(x), F.array(*map(F.lit, off)), lambda a, b: a.cast("double") - b), F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
 
-    return df.withColumn(name, F.array(*[score(r) for r in rows]))
+    return df.withColumn(name, F.array(*[score([float(a) for a in col]) for col in directions.T]))
+
+
+def reduced(df: DataFrame, x: str, k: int, name: str = "x") -> DataFrame:
+    """``df`` with ``name`` the scores on the first ``k`` principal components."""
+    mean, v, _ = components(df, x, k)
+    return on_components(df, x, mean, v, name)
 
 
 def fourier(x: str, dim: int, out: int, gamma: float, seed: int):

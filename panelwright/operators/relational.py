@@ -87,3 +87,31 @@ def leakage_profile(design: DataFrame, units: DataFrame, items: DataFrame) -> Da
     f = leakage_flags(design, units, items)
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
     return f.agg(F.count(F.lit(1)).alias("n"), share(F.col("known_unit")).alias("unit_share"), share(F.col("known_item")).alias("item_share"), share(F.col("known_unit") & F.col("known_item")).alias("both_share"))
+
+
+def merged_means(rows: DataFrame, keys: list[str], chunk: str, value: str) -> DataFrame:
+    """(keys, n, mean) from sums and counts of each chunk, added up; chunks may be written apart and merged later."""
+    parts = rows.groupBy(*keys, chunk).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
+    total = parts.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("k").alias("n"))
+    return total.select(*keys, "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"))
+
+
+def resolved_stems(stems: DataFrame, ids: DataFrame, further: DataFrame) -> DataFrame:
+    """(stem, id): by the exact name, else with underscores as spaces, else by a further key; null where none fits.
+
+    ``ids`` and ``further``: name, id; of several ids for a name the smallest counts.
+    """
+    one = ids.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"))
+    more = further.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("id3"))
+    s = stems.select("stem").distinct().withColumn("spaced", F.replace("stem", F.lit("_"), F.lit(" ")))
+    s = s.join(one.select(F.col("name").alias("stem"), F.col("id").alias("id1")), "stem", "left")
+    s = s.join(one.select(F.col("name").alias("spaced"), F.col("id").alias("id2")), "spaced", "left")
+    return s.join(more.withColumnRenamed("name", "stem"), "stem", "left").select("stem", F.coalesce("id1", "id2", "id3").alias("id"))
+
+
+def picked(df: DataFrame, candidates: list[str], override: str | None = None) -> str:
+    """The column to use: ``override`` if given, else the first candidate that the table has."""
+    for c in [override] if override else candidates:
+        if c in df.columns:
+            return c
+    raise ValueError(f"none of {[override] if override else candidates} among {df.columns}")

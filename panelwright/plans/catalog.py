@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.plans import deltas, io, matrix, metrics, models, relational, selection, text, transfer  # noqa: F401  they register
+from panelwright.plans import deltas, further, io, matrix, metrics, models, relational, selection, text, transfer  # noqa: F401  they register
 from panelwright.plans.registry import QUERIES, SQL, Query
 
 
