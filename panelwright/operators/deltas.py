@@ -108,7 +108,7 @@ def conditional_deltas(rows: DataFrame, base: DataFrame, asked: DataFrame, panel
     carried over.  ``base``: line, feature, value of the other platform; ``asked``: line, drug.  A drug measured in
     fewer than ``min_lines`` lines gives nothing.  ``panel`` is a vocabulary of features.
     """
-    control = rows.where("is_control").groupBy("line", "feature").agg(F.avg("value").alias("value"))
+    control = checkpointed(rows.where("is_control").groupBy("line", "feature").agg(F.avg("value").alias("value")))
     spread = control.groupBy("feature").agg(F.stddev_pop("value").alias("sd")).withColumn("sd", F.when(F.col("sd") < 1e-12, 1.0).otherwise(F.col("sd")))
     profile = checkpointed(reindexed(z_scored(control.withColumnRenamed("line", "sample")), panel))
     mean, directions, _ = L.components(profile, "vector", k)
@@ -135,7 +135,8 @@ def fidelity(made: DataFrame, real: DataFrame, n_top: int, block: int = 512) ->
     correlation with the own real delta, ``r_off`` the mean with the others, ``rank`` the share of the others
     below ``r``.  Every made row is asked against all real rows, in blocks; a row without spread correlates 0.
     """
-    pairs = made.select("line", "drug").distinct().join(real.select("line", "drug").distinct(), ["line", "drug"])
+    made, real = checkpointed(made), checkpointed(real)  # each is read several times
+    pairs = checkpointed(made.select("line", "drug").distinct().join(real.select("line", "drug").distinct(), ["line", "drug"]))
     shared = made.select("feature").distinct().join(real.select("feature").distinct(), "feature")
     r = real.join(pairs, ["line", "drug"], "left_semi").join(shared, "feature", "left_semi")
     top = r.groupBy("feature").agg(F.var_pop("value").alias("v")).orderBy(F.desc("v"), "feature").limit(n_top)

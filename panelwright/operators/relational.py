@@ -91,9 +91,9 @@ def leakage_profile(design: DataFrame, units: DataFrame, items: DataFrame) -> Da
 
 def merged_means(rows: DataFrame, keys: list[str], chunk: str, value: str) -> DataFrame:
     """(keys, n, mean) from sums and counts of each chunk, added up; chunks may be written apart and merged later."""
-    parts = rows.groupBy(*keys, chunk).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
-    total = parts.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("k").alias("n"))
-    return total.select(*keys, "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("mean"))
+    parts = rows.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"), F.count(value).alias("_count"))
+    total = parts.groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_count").alias("_count"))
+    return total.select(*keys, F.col("_count").alias("n"), F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count")).alias("mean"))
 
 
 def resolved_stems(stems: DataFrame, ids: DataFrame, further: DataFrame) -> DataFrame:
