@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.ranks import avg_rank, pct_rank
 from panelwright.operators import controls as C
 from panelwright.operators import deltas as D
+from panelwright.operators import matrix as X
 from panelwright.operators import metrics as M
 from panelwright.operators import models as L
 from panelwright.operators import relational as R
@@ -16,7 +17,7 @@ from panelwright.operators import splits as S
 from panelwright.plans import panels as P
 from panelwright.plans.deltas import SETS, sets, shown
 from panelwright.plans.matrix import Z
-from panelwright.plans.models import FOLD, features
+from panelwright.plans.models import FOLD, features, item_features
 from panelwright.plans.registry import query
 from panelwright.plans.transfer import side
 from panelwright.session import checkpointed, table
@@ -134,6 +135,16 @@ def transfer_by_item(s, d):
     return out.select("unit", "item", F.round("y_true", 6).alias("y_true"), F.round(F.coalesce(L.predicted(), F.col("m"), F.lit(1e6)), 6).alias("y_pred"))
 
 
+@query("mod_p11_bilinear_transfer")
+def bilinear_transfer(s, d):
+    """One ridge on unit features, item features and their products, fitted on panel A and carried to panel R."""
+    x, g = checkpointed(features(s, d, 3)), item_features(s, d)
+    a, r = (side(s, d, flag).join(x, "unit").join(g, "item").withColumn("x", X.bilinear(F.col("x"), F.col("g"))) for flag in ("A", "R"))
+    a = checkpointed(a)
+    w = L.fitted(a.join(S.hashed_folds(a, 5), "unit"), [], "x", "y_true", "fold")  # one row
+    return r.crossJoin(F.broadcast(w)).select("unit", "item", F.round("y_true", 6).alias("y_true"), F.round(L.predicted(), 6).alias("y_pred"))
+
+
 @query("c6_shared_direction")
 def shared_direction(s, d):
     """Two cohorts given one direction, which items carry by their shared key: the interaction that each shows."""

@@ -74,12 +74,16 @@ def p4(s, d):
     return scored(r, L.fitted(r, ["item"], "x", "resid", "fold", alphas=(0.01, 0.1, 1.0, 10.0)), ["item"])
 
 
+def item_features(s, d):
+    """(item, g): items are described by size and price."""
+    part = table(s, d, "part").groupBy(F.col("p_brand").alias("item")).agg(F.avg("p_size").alias("a"), F.avg("p_retailprice").alias("b"))
+    return part.select("item", F.array((F.col("a") - 25) / 5, (F.col("b") - 1500) / 100).alias("g"))
+
+
 @query("mod_p5_bilinear")
 def p5(s, d):
-    """Ridge on unit features, item features and their products; items are described by size and price."""
-    part = table(s, d, "part").groupBy(F.col("p_brand").alias("item")).agg(F.avg("p_size").alias("a"), F.avg("p_retailprice").alias("b"))
-    g = part.select("item", F.array((F.col("a") - 25) / 5, (F.col("b") - 1500) / 100).alias("g"))
-    r = checkpointed(rows(s, d, 3).join(g, "item").withColumn("x", X.bilinear(F.col("x"), F.col("g"))))
+    """Ridge on unit features, item features and their products."""
+    r = checkpointed(rows(s, d, 3).join(item_features(s, d), "item").withColumn("x", X.bilinear(F.col("x"), F.col("g"))))
     return shared(r)
 
 
