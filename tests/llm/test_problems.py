@@ -254,6 +254,38 @@ def test_overlaps(spark):
     assert p6_overlap.overlaps(folds.limit(0), patients, s.limit(0)).count() == 0
 
 
+def test_twins_are_those_of_all_pairs(spark):
+    """Every pair of records with enough evidence, in whatever tranche and with whatever fields missing."""
+    from itertools import combinations
+
+    r, stock = random.Random(7), ["resection", "margin", "clear", "plug", "kept", "slow", "edge", "piece", "frozen", "rim"]
+
+    def slip(b):
+        b = list(b)
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(b))
+            b[at : at + r.randint(0, 1)] = r.choice(["", "7", "3"])
+        return "".join(b) or "A"
+
+    samples = []
+    for i in range(40):
+        base = (f"{r.choice('AB')}{r.randint(0, 9999):04d}", r.choice([0.3, 9.0, 55.0, 300.0]) * (1 + r.random()), r.uniform(40, 99), r.randint(1, 28), r.sample(stock, 6))
+        for j in range(5):
+            words = base[4][:3] + r.sample(stock, 3) if r.random() < 0.5 else base[4]
+            m = {"block": slip(base[0]), "cells_k": f"{base[1] * r.choice([1, 1, 0.94, 1.07, 2]):.2f}", "viab_pct": f"{base[2] + r.choice([0, 0, 2.4, -2.5, 9]):.1f}", "collected_on": f"2020-{r.choice('113')}-{base[3]:d}", "note": " ".join(words), "site": r.choice(["s1", "s2"])}
+            for f in r.sample(sorted(m), r.randint(0, 2)):
+                del m[f]
+            samples.append((f"S{i}{j}", f"P{i * 10 + j}", r.choice(["t", "u"]), r.choice([None, 1, 2]), r.choice([None, 0]), m))
+    s = spark.createDataFrame(samples, "sample_id string, patient_id string, tranche_id string, passage int, replicate int, metadata map<string,string>")
+    records = p6_overlap.specimen_records(s).cache()
+    got = {p for p in rows(p6_overlap.twin_patients(s), "x", "y") if p[0] < p[1]}
+    # all pairs, compared one by one
+    near = records.alias("a").crossJoin(records.alias("b")).where((F.col("a.canon") < F.col("b.canon")) & (p6_overlap.evidence() >= p6_overlap.NEAR))
+    want = set(rows(near.select(F.col("a.canon").alias("x"), F.col("b.canon").alias("y"), F.col("a.tranche").alias("s"), F.col("b.tranche").alias("t")), "x", "y", "s", "t"))
+    assert got == {w[:2] for w in want}
+    assert sum(x != y for _, _, x, y in want) >= 20 and len(want) < len(list(combinations(samples, 2))) / 10
+
+
 # ---------------------------------------------------------------- 7
 
 
