@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.session import checkpointed
+
 ALPHAS = tuple(np.logspace(0, 8, 9))  # fixed values: the grid of penalties
 MAX_FEATURES = 2_000
 
@@ -162,6 +164,25 @@ def reduced(df: DataFrame, x: str, k: int, name: str = "x") -> DataFrame:
     return on_components(df, x, mean, v, name)
 
 
+def standardised(df: DataFrame, x: str) -> DataFrame:
+    """``df`` with each coordinate of ``x`` less its mean, by its standard deviation where there is one."""
+    n, mean, c = centred(square(moments(df, [], x).first()["m"]))
+    sd = np.sqrt(np.maximum(np.diag(c), 0) / max(n, 1))
+    sd[sd <= 1e-12 * np.maximum(np.abs(mean), 1)] = 1
+    off, by = (F.array(*[F.lit(float(a)) for a in v]) for v in (mean, sd))
+    return df.withColumn(x, F.zip_with(F.zip_with(F.col(x), off, lambda a, b: a.cast("double") - b), by, lambda a, b: a / b))
+
+
+def boosted(df: DataFrame, x: str, y: str, w: Sequence[float], most: int = 300, rounds: int = 400):
+    """(model, rows): trees boosted on up to ``most`` coordinates of non-zero slope in ``w``; on the first of all if there is none."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    keep = sorted((i for i in range(len(w)) if w[i] != 0), key=lambda i: (-abs(w[i]), i)) or list(range(len(w)))
+    v = checkpointed(df.withColumn("features", array_to_vector(F.array(*[F.col(x)[i] for i in keep[:most]]))))
+    return GBTRegressor(labelCol=y, maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=1).fit(v), v
+
+
 def fourier(x: str, dim: int, out: int, gamma: float, seed: int):
     """Random Fourier features whose inner products approach exp(-gamma |a - b|2)."""
     rng = np.random.default_rng(seed)

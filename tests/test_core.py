@@ -183,3 +183,28 @@ def test_complete_cases_and_keep_first(spark):
     assert sorted(tuple(x) for x in relational.complete_cases(cells, "r", "c", 0.7).select("r", "c").collect()) == [("r1", "a"), ("r1", "b"), ("r2", "a"), ("r2", "b")]
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), (None, 5, "c")], "k string, o int, v string")
     assert sorted(r["v"] for r in relational.keep_first(df, ["k"], ["o"]).collect()) == ["a", "c"]
+
+
+def test_readouts_take_every_coordinate(spark, tmp_path):
+    from panelwright.plans import models as plans
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(120, 20)) * np.arange(1, 21) + 5
+    x[:, 7] = 3.0
+    y = r.integers(0, 10, 120)
+    spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(120)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd > 1e-9, sd, 1)
+    want = y.mean() + z @ np.linalg.solve(z.T @ z + np.eye(20), z.T @ (y - y.mean()))
+    got = [row["y_pred"] for row in plans.v3_all(spark, str(tmp_path)).orderBy("vec_id").collect()]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_boosting_keeps_all_slopes_and_rounds(spark):
+    import inspect
+
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(r.normal(size=20).tolist(), float(i % 7)) for i in range(60)], "x array<double>, y double")
+    model, _ = models.boosted(df, "x", "y", [0.0, *np.arange(1.0, 20.0)], rounds=2)
+    assert (model.numFeatures, model.getNumTrees) == (19, 2)
+    assert {k: v.default for k, v in inspect.signature(models.boosted).parameters.items() if k in ("most", "rounds")} == {"most": 300, "rounds": 400}
