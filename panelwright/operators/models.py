@@ -91,8 +91,25 @@ def rss(m: np.ndarray, w: np.ndarray) -> float:
 FITS = {"ridge": lambda m, a: ridge(m, a), "lasso": lambda m, a: elastic_net(m, a, 1.0), "elastic_net": lambda m, a: elastic_net(m, a, 0.5)}
 
 
+def chosen(parts: Sequence[np.ndarray], kind: str, alphas: Sequence[float]) -> tuple[float, float]:
+    """(penalty, squared error) of the least error on parts left out in turn; of equal errors the larger penalty wins."""
+    total = sum(parts)
+    tried = [(sum(rss(p, FITS[kind](total - p, a)) for p in parts if total[0, 0] > p[0, 0]), -float(a)) for a in alphas]
+    error, alpha = min(tried)
+    return -alpha, float(error)
+
+
+def grid(m: np.ndarray, kind: str) -> np.ndarray:
+    """The penalties to choose from: 12 for ridge, else 30 from the one that leaves no slope down to its thousandth."""
+    if kind == "ridge":
+        return np.logspace(-2, 3, 12)
+    n, _, c = centred(m)
+    top = np.abs(c[:-1, -1]).max(initial=0) / max(n, 1) / {"lasso": 1.0, "elastic_net": 0.5}[kind]
+    return max(top, 1e-12) * np.logspace(0, -3, 30)
+
+
 def fitted(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kind: str = "ridge", alphas: Sequence[float] = ALPHAS, min_n: int = 4) -> DataFrame:
-    """(group, alpha, w): coefficients for each group, the penalty chosen by the error on left-out folds.
+    """(group, alpha, error, w): coefficients for each group, the penalty chosen by the squared error on left-out folds.
 
     Groups of fewer than ``min_n`` rows get none.  Of equal errors the larger penalty wins.
     """
@@ -103,17 +120,30 @@ def fitted(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kin
         parts = [square(m) for m in pdf["m"]]
         total = sum(parts)
         if total[0, 0] < min_n:
-            return pd.DataFrame(columns=[*group, "alpha", "w"])
-        best = min(sorted(alphas, reverse=True), key=lambda a: sum(rss(p, FITS[kind](total - p, a)) for p in parts if total[0, 0] > p[0, 0]))
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in group], float(best), FITS[kind](total, best).tolist())], columns=[*group, "alpha", "w"])
+            return pd.DataFrame(columns=[*group, "alpha", "error", "w"])
+        best, error = chosen(parts, kind, alphas)
+        return pd.DataFrame([(*[pdf[k].iloc[0] for k in group], best, error, FITS[kind](total, best).tolist())], columns=[*group, "alpha", "error", "w"])
 
-    kinds = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in group), "alpha double", "w array<double>"])
+    kinds = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in group), "alpha double, error double", "w array<double>"])
     # a group has one row a fold
     return (per_fold.groupBy(*group) if group else per_fold.groupBy(F.lit(0).alias("_"))).applyInPandas(fit, kinds)
 
 
-def out_of_fold(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kind: str, alpha: float) -> DataFrame:
-    """(group, fold, w, y_prior): coefficients for each fold from all other folds, and the other folds' mean target."""
+def scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(standard deviations, by), the latter what moments are multiplied by for features of unit spread."""
+    n, mean, c = centred(m)
+    sd = np.sqrt(np.maximum(np.diag(c)[:-1], 0) / max(n, 1))
+    sd = np.where(sd <= 1e-9 * np.maximum(np.abs(mean[:-1]), 1e-12), 1.0, sd)
+    by = np.concatenate([[1.0], 1 / sd, [1.0]])
+    return sd, np.outer(by, by)
+
+
+def out_of_fold(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kind: str, least: int = 8, train: int = 5) -> DataFrame:
+    """(group, fold, alpha, w, y_prior): coefficients for each fold from all other folds, and the other folds' mean target.
+
+    Features are scaled, and the penalty is chosen from its grid, by the other folds alone, each left out in turn.
+    Groups of fewer than ``least`` rows and folds with fewer than ``train`` others get none.
+    """
     group = list(group)
     per_fold = moments(rows, [*group, fold], x, y)
 
@@ -123,11 +153,15 @@ def out_of_fold(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str
         out = []
         for i, p in enumerate(parts):
             rest = total - p
-            if rest[0, 0] >= 2:
-                out.append((*[pdf[k].iloc[i] for k in group], pdf[fold].iloc[i], FITS[kind](rest, alpha).tolist(), float(rest[0, -1] / rest[0, 0])))
-        return pd.DataFrame(out, columns=[*group, fold, "w", "y_prior"])
-
-    kinds = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*group, fold]), "w array<double>", "y_prior double"])
+            if total[0, 0] >= least and rest[0, 0] >= train:
+                sd, by = scaled(rest)
+                alpha, _ = chosen([q * by for j, q in enumerate(parts) if j != i], kind, grid(rest * by, kind))
+                w = FITS[kind](rest * by, alpha)
+                w[1:] /= sd
+                out.append((*[pdf[k].iloc[i] for k in group], pdf[fold].iloc[i], alpha, w.tolist(), float(rest[0, -1] / rest[0, 0])))
+        return pd.DataFrame(out, columns=[*group, fold, "alpha", "w", "y_prior"])
+
+    kinds = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*group, fold]), "alpha double", "w array<double>", "y_prior double"])
     return (per_fold.groupBy(*group) if group else per_fold.groupBy(F.lit(0).alias("_"))).applyInPandas(fit, kinds)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelwright.operators import matrix as X
@@ -48,7 +49,7 @@ def rows(s, d, k=5):
 
 
 def scored(r, w, keys):
-    out = r.join(w, keys, "left").withColumn("y_resid", F.coalesce(L.predicted(), F.lit(0.0)))
+    out = (r.join(w, keys, "left") if keys else r).withColumn("y_resid", F.coalesce(L.predicted(), F.lit(0.0)))
     return out.select("unit", "item", "fold", "y_true", F.round(F.col("y_base") + F.col("y_resid"), 9).alias("y_pred"), F.round("y_resid", 9).alias("y_resid"))
 
 
@@ -67,11 +68,25 @@ def shared(r):
 query("mod_p3_ridge_by_item")(lambda s, d: (lambda r: scored(r, L.fitted(r, ["item"], "x", "resid", "fold"), ["item"]))(rows(s, d)))
 
 
+GAMMAS = tuple(float(g) for g in np.logspace(-2, 0.5, 6))  # fixed values: the widths tried
+
+
+def kernels(r):
+    """``r`` with ``xs``, its Fourier features for each width."""
+    return r.withColumn("xs", F.array(*[L.fourier("x", 5, 24, g, 9) for g in GAMMAS]))
+
+
+def kernel_fits(r):
+    """(item, k, w): for each item the width, by its place, and the penalty of the least error on left-out folds."""
+    w = L.fitted(r.select("item", "fold", "resid", F.posexplode("xs").alias("k", "x")), ["item", "k"], "x", "resid", "fold", alphas=tuple(np.logspace(-2, 3, 6)))
+    return w.groupBy("item").agg(F.min_by(F.struct("k", "w"), F.struct("error", "k")).alias("best")).select("item", "best.*")
+
+
 @query("mod_p4_kernel_by_item")
 def p4(s, d):
     """Kernel ridge through random Fourier features, so that it too needs only summed products."""
-    r = rows(s, d).withColumn("x", L.fourier("x", 5, 24, 0.1, 9))
-    return scored(r, L.fitted(r, ["item"], "x", "resid", "fold", alphas=(0.01, 0.1, 1.0, 10.0)), ["item"])
+    r = kernels(checkpointed(L.standardised(rows(s, d), "x")))
+    return scored(r.join(kernel_fits(r), "item", "left").withColumn("x", F.col("xs")[F.col("k")]), None, None)
 
 
 def item_features(s, d):
@@ -89,19 +104,26 @@ def p5(s, d):
 
 @query("mod_p8_penalised_grid")
 def p8(s, d):
-    """Per item and fold, ridge, lasso and elastic net fitted on the other folds; y_prior is the other folds' mean."""
+    """Per item and fold, ridge, lasso and elastic net fitted on the other folds, the penalty chosen there; y_prior is the other folds' mean."""
     r = rows(s, d)
     out = None
-    for kind, alpha in (("ridge", 10.0), ("lasso", 0.001), ("elastic_net", 0.001)):
-        w = L.out_of_fold(r, ["item"], "x", "y_true", "fold", kind, alpha)
+    for kind in ("ridge", "lasso", "elastic_net"):
+        w = L.out_of_fold(r, ["item"], "x", "y_true", "fold", kind)
         one = r.join(w, ["item", "fold"]).select(F.lit(kind).alias("penalty"), "unit", "item", "fold", "y_true", F.round(L.predicted(), 9).alias("y_pred"), F.round("y_prior", 9).alias("y_prior"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def prior(s, d):
+    """The prior alone, from two training rows on, as its SQL has it."""
+    r = rows(s, d)
+    w = L.out_of_fold(r, ["item"], "x", "y_true", "fold", "ridge", least=2, train=2)
+    return r.join(w, ["item", "fold"]).select(F.lit("ridge").alias("penalty"), "unit", "item", F.round("y_prior", 6).alias("y_prior"))
+
+
 query("mod_p8_prior", f"""WITH {P.DENSE}, p AS (SELECT *, {FOLD} AS fold FROM dense), t AS (SELECT item, sum(y_true) AS s, count(*) AS n FROM p GROUP BY 1), f AS (SELECT item, fold, sum(y_true) AS s, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT DISTINCT 'ridge' AS penalty, unit, item, round((t.s - f.s) / (t.n - f.n), 6) AS y_prior FROM p JOIN t USING (item) JOIN f USING (item, fold) WHERE t.n - f.n >= 2""")(
-    lambda s, d: p8(s, d).where("penalty = 'ridge'").select("penalty", "unit", "item", F.round("y_prior", 6).alias("y_prior"))
+    prior
 )
 
 

@@ -208,3 +208,46 @@ def test_boosting_keeps_all_slopes_and_rounds(spark):
     model, _ = models.boosted(df, "x", "y", [0.0, *np.arange(1.0, 20.0)], rounds=2)
     assert (model.numFeatures, model.getNumTrees) == (19, 2)
     assert {k: v.default for k, v in inspect.signature(models.boosted).parameters.items() if k in ("most", "rounds")} == {"most": 300, "rounds": 400}
+
+
+def test_penalties_are_chosen_by_the_other_folds(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(90, 3)) * [1.0, 40.0, 0.01] + 2
+    y = x @ np.array([1.0, 0.02, 30.0]) + r.normal(size=90)
+    fold = np.arange(90) % 5
+    data = [("a", x[i].tolist(), float(y[i]), int(fold[i])) for i in range(90)] + [("few", x[i].tolist(), float(y[i]), i % 5) for i in range(7)]
+    df = spark.createDataFrame(data, "item string, x array<double>, y double, fold int")
+
+    def ridge(a, b, alpha):
+        w = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + alpha * np.eye(3), (a - a.mean(0)).T @ (b - b.mean()))
+        return np.array([b.mean() - a.mean(0) @ w, *w])
+
+    got = {(g["item"], g["fold"]): g for g in models.out_of_fold(df, ["item"], "x", "y", "fold", "ridge").collect()}
+    assert set(got) == {("a", f) for f in range(5)}
+    for f in range(5):
+        tr = fold != f
+        z = x / x[tr].std(0)
+        errors = {}
+        for alpha in np.logspace(-2, 3, 12):
+            fits = {j: ridge(z[tr & (fold != j)], y[tr & (fold != j)], alpha) for j in range(5) if j != f}
+            errors[alpha] = sum(((y[fold == j] - w[0] - z[fold == j] @ w[1:]) ** 2).sum() for j, w in fits.items())
+        best = min(errors, key=errors.get)
+        w = ridge(z[tr], y[tr], best)
+        assert np.isclose(got["a", f]["alpha"], best) and np.allclose(got["a", f]["w"], [w[0], *(w[1:] / x[tr].std(0))], atol=1e-6)
+    for kind in ("lasso", "elastic_net"):
+        assert 0 < min(g["alpha"] for g in models.out_of_fold(df, ["item"], "x", "y", "fold", kind).collect())
+
+
+def test_kernel_width_is_searched(spark):
+    from panelwright.plans import models as plans
+
+    r = np.random.default_rng(7)
+    x = r.normal(size=(80, 5))
+    data = [("wide", x[i].tolist(), float(x[i, 0]), i % 5) for i in range(80)] + [("narrow", x[i].tolist(), float(np.sin(3 * x[i, 0])), i % 5) for i in range(80)]
+    rows = plans.kernels(spark.createDataFrame(data, "item string, x array<double>, resid double, fold int")).cache()
+    got = {g["item"]: g["k"] for g in plans.kernel_fits(rows).collect()}
+    for item, k in got.items():
+        one = rows.where(rows["item"] == item)
+        errors = [models.fitted(one.withColumn("x", one["xs"][j]), [], "x", "resid", "fold", alphas=tuple(np.logspace(-2, 3, 6))).first()["error"] for j in range(6)]
+        assert int(np.argmin(errors)) == k
+    assert set(got) == {"wide", "narrow"}
