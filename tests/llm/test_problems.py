@@ -254,36 +254,60 @@ def test_overlaps(spark):
     assert p6_overlap.overlaps(folds.limit(0), patients, s.limit(0)).count() == 0
 
 
-def test_twins_are_those_of_all_pairs(spark):
-    """Every pair of records with enough evidence, in whatever tranche and with whatever fields missing."""
-    from itertools import combinations
-
+def made_records(spark, n=40):
+    """Specimens registered five times each, with slips, other numbers and missing fields."""
     r, stock = random.Random(7), ["resection", "margin", "clear", "plug", "kept", "slow", "edge", "piece", "frozen", "rim"]
-
-    def slip(b):
-        b = list(b)
-        for _ in range(r.randint(0, 2)):
-            at = r.randrange(len(b))
-            b[at : at + r.randint(0, 1)] = r.choice(["", "7", "3"])
-        return "".join(b) or "A"
-
     samples = []
-    for i in range(40):
-        base = (f"{r.choice('AB')}{r.randint(0, 9999):04d}", r.choice([0.3, 9.0, 55.0, 300.0]) * (1 + r.random()), r.uniform(40, 99), r.randint(1, 28), r.sample(stock, 6))
+    for i in range(n):
+        base = (f"{r.choice('AB')}{r.randint(0, 9999):04d}", r.choice([3.0, 9.0, 55.0, 300.0]) * (1 + r.random()), r.uniform(40, 99), r.randint(1, 28), r.sample(stock, 6))
         for j in range(5):
-            words = base[4][:3] + r.sample(stock, 3) if r.random() < 0.5 else base[4]
-            m = {"block": slip(base[0]), "cells_k": f"{base[1] * r.choice([1, 1, 0.94, 1.07, 2]):.2f}", "viab_pct": f"{base[2] + r.choice([0, 0, 2.4, -2.5, 9]):.1f}", "collected_on": f"2020-{r.choice('113')}-{base[3]:d}", "note": " ".join(words), "site": r.choice(["s1", "s2"])}
-            for f in r.sample(sorted(m), r.randint(0, 2)):
+            block = list(base[0])
+            if r.random() < 0.1:
+                block[r.randrange(5)] = "7"
+            m = {"block": "".join(block), "cells_k": f"{base[1] * r.choice([1] * 8 + [0.94, 1.07]):.2f}", "viab_pct": f"{base[2] + r.choice([0] * 8 + [2.4, -2.5]):.1f}", "collected_on": f"2020-{r.choice('1111113')}-{base[3]:d}", "note": " ".join(base[4][: r.randint(4, 6)]), "site": r.choice(["s1", "s1", "s2"])}
+            for f in r.sample(sorted(m), r.randint(0, 1)):
                 del m[f]
             samples.append((f"S{i}{j}", f"P{i * 10 + j}", r.choice(["t", "u"]), r.choice([None, 1, 2]), r.choice([None, 0]), m))
     s = spark.createDataFrame(samples, "sample_id string, patient_id string, tranche_id string, passage int, replicate int, metadata map<string,string>")
-    records = p6_overlap.specimen_records(s).cache()
-    got = {p for p in rows(p6_overlap.twin_patients(s), "x", "y") if p[0] < p[1]}
-    # all pairs, compared one by one
-    near = records.alias("a").crossJoin(records.alias("b")).where((F.col("a.canon") < F.col("b.canon")) & (p6_overlap.evidence() >= p6_overlap.NEAR))
-    want = set(rows(near.select(F.col("a.canon").alias("x"), F.col("b.canon").alias("y"), F.col("a.tranche").alias("s"), F.col("b.tranche").alias("t")), "x", "y", "s", "t"))
-    assert got == {w[:2] for w in want}
-    assert sum(x != y for _, _, x, y in want) >= 20 and len(want) < len(list(combinations(samples, 2))) / 10
+    return p6_overlap.specimen_records(s).withColumn("id", F.col("class")).cache()
+
+
+def test_near_records_are_those_of_all_pairs(spark):
+    """Every pair that agrees in enough segments and isn't too far apart is met, in whatever tranche and with whatever fields missing."""
+    from itertools import combinations
+
+    records = made_records(spark)
+    prints = {r["id"]: r.asDict() for r in p6_overlap.fingerprints(records).collect()}
+    assert len({r[n] for r in prints.values() for n in p6_overlap.NOTE}) > 8  # the four note hashes are different ones
+
+    def meets(x, y):
+        return any(all(x[s] is not None and x[s] == y[s] for s in b) for b in p6_overlap.BLOCKS)
+
+    def apart(x, y):
+        both = [s for s in p6_overlap.SEGMENTS if x[s] is not None and y[s] is not None]
+        return 128 * sum((x[s] ^ y[s]).bit_count() for s in both) / sum(16 if s in p6_overlap.MEASURED else 12 for s in both)
+
+    want = {(x, y) for x, y in combinations(sorted(prints), 2) if meets(prints[x], prints[y]) and apart(prints[x], prints[y]) <= p6_overlap.RADIUS}
+    got = set(rows(p6_overlap.candidates(records), "x", "y"))
+    assert got == want and len(want) > 30
+    near = records.alias("a").join(records.alias("b"), F.col("a.id") < F.col("b.id")).where(p6_overlap.verified()).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.tranche").alias("s"), F.col("b.tranche").alias("t"))
+    near = rows(near, "x", "y", "s", "t")
+    found = set(rows(p6_overlap.near_classes(records.drop("id")).where("x < y"), "x", "y"))
+    assert found == {w[:2] for w in near} & want
+    assert len(found) >= 0.9 * len(near) and sum(s != t for *_, s, t in near) >= 20
+
+
+def test_hot_blocks_of_codes_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(p6_overlap, "HOT", 8)
+    one = {"viab_pct": "0.0", "collected_on": "2000-01-01", "note": "viable rim core biopsy"}  # what a third of all records have
+    samples = [(f"S{i}", f"P{i}", "t", None, None, one | {"cells_k": str(10 + 3 * i), "block": f"A{i:03d}-{9999 - i * 7}"}) for i in range(60)]
+    samples.append(("S99", "P99", "u", None, None, one | {"cells_k": "16", "block": "A002-9985"}))
+    s = spark.createDataFrame(samples, "sample_id string, patient_id string, tranche_id string, passage int, replicate int, metadata map<string,string>")
+    records = p6_overlap.specimen_records(s).withColumn("id", F.col("class")).cache()
+    keys = p6_overlap.code_blocks(p6_overlap.fingerprints(records)).cache()
+    assert keys.groupBy("k").count().agg(F.max("count")).first()[0] <= 8
+    of = {r["canon"]: r["id"] for r in records.collect()}
+    assert set(rows(p6_overlap.near_classes(records.drop("id")).where("x < y"), "x", "y")) == {tuple(sorted((of["P2"], of["P99"])))}
 
 
 # ---------------------------------------------------------------- 7
