@@ -264,7 +264,7 @@ def made_records(spark, n=40):
             block = list(base[0])
             if r.random() < 0.1:
                 block[r.randrange(5)] = "7"
-            m = {"block": "".join(block), "cells_k": f"{base[1] * r.choice([1] * 8 + [0.94, 1.07]):.2f}", "viab_pct": f"{base[2] + r.choice([0] * 8 + [2.4, -2.5]):.1f}", "collected_on": f"2020-{r.choice('1111113')}-{base[3]:d}", "note": " ".join(base[4][: r.randint(4, 6)]), "site": r.choice(["s1", "s1", "s2"])}
+            m = {"block": "".join(block), "cells_k": f"{base[1] * r.choice([1] * 20 + [0.94, 1.07]):.2f}", "viab_pct": f"{base[2] + r.choice([0] * 20 + [2.4, -2.5]):.1f}", "collected_on": f"2020-{r.choice('11111111113')}-{base[3]:d}", "note": " ".join(base[4][: r.randint(4, 6)]), "site": r.choice(["s1", "s1", "s2"])}
             for f in r.sample(sorted(m), r.randint(0, 1)):
                 del m[f]
             samples.append((f"S{i}{j}", f"P{i * 10 + j}", r.choice(["t", "u"]), r.choice([None, 1, 2]), r.choice([None, 0]), m))
