@@ -107,8 +107,11 @@ def underived(name: str) -> str | None:
     return next((name[len(p) :] for p in DERIVED if name.startswith(p) and len(name) - len(p) >= 6), None)
 
 
-def diagnosis_forms(value: str, words: set[str]) -> list[str]:
-    """The orders in which the words of a typed diagnosis may be read, joined; abbreviations opened by ``words``."""
+def diagnosis_forms(value: str, words: set[str], longest: int) -> list[str]:
+    """The orders in which the words of a typed diagnosis may be read, joined; abbreviations opened by ``words`` (their letters).
+
+    A text longer than any entry of the list (``longest`` letters) by more than slips allow can mean none, so it has one order.
+    """
     s = plain(value)
     while (t := DIAGNOSIS_LEADS.sub("", s)) != s:
         s = t
@@ -121,17 +124,16 @@ def diagnosis_forms(value: str, words: set[str]) -> list[str]:
             continue
         if bare.endswith("."):
             stem = letters(bare)
-            joined = {letters(w): w for w in words}
-            full = sorted(w for w in joined if w.startswith(stem) and len(stem) >= 3)
+            full = [w for w in words if w.startswith(stem)] if len(stem) >= 3 else []
             tail = next((stem[: -len(a)] + "sarcoma" for a in ("sarc", "sa") if stem.endswith(a)), None)
-            bare = tail if tail and (tail == "sarcoma" or tail in joined) else full[0] if len(full) == 1 else stem
+            bare = tail if tail and (tail == "sarcoma" or tail in words) else full[0] if len(full) == 1 else stem
         stem = re.sub("(?:es|er|en)$", "", letters(bare))
-        if letters(bare) not in {letters(w) for w in words} and stem in GERMAN and stem != letters(bare):
+        if letters(bare) not in words and stem in GERMAN and stem != letters(bare):
             bare = GERMAN[stem]
         bare = re.sub("sarkom(?:a|e)?$", "sarcoma", bare)
         tokens.append(letters(bare))
-    turns = [tokens[i:] + tokens[:i] for i in range(min(len(tokens), 6))]
-    return list(dict.fromkeys("".join(t) for t in turns if t))
+    orders = len(tokens) if sum(map(len, tokens)) <= longest + 3 else min(len(tokens), 1)
+    return list(dict.fromkeys(t for t in ("".join(tokens[i:] + tokens[:i]) for i in range(orders)) if t))
 
 
 def edits(a: str, b: str) -> int:
@@ -157,17 +159,25 @@ def edits(a: str, b: str) -> int:
 
 
 def slips(a: str, b: str) -> int:
-    """Edits where two neighbours that changed places count once."""
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
+    """Edits where two neighbours that changed places count once, bit-parallel over the shorter string."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, d, before = mask, 0, len(a), 0, 0
+    for c in b:
+        eq = where.get(c, 0)
+        swapped = ((~d & eq) << 1) & before
+        d = ((((eq & up) + up) ^ up) | eq | down | swapped) & mask
+        plus, minus = down | ~(d | up) & mask, up & d
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & mask, (minus << 1) & mask
+        up, down, before = minus | ~(d | plus) & mask, plus & d, eq
+    return score
 
 
 class BKTree:
@@ -197,18 +207,3 @@ class BKTree:
                 found.append((d, entry))
             stack += [x for at, x in below.items() if d - radius <= at <= d + radius]
         return found
-
-
-def unlisted(terms: list[str]) -> set[str]:
-    """Terms that would combine the parts of listed ones but aren't listed: other things with a like name."""
-    heads: dict[str, set[str]] = {}
-    tails: dict[str, set[str]] = {}
-    for t in terms:
-        w = t.split()
-        for i in range(1, len(w)):
-            heads.setdefault(" ".join(w[:i]), set()).add(" ".join(w[i:]))
-            tails.setdefault(" ".join(w[i:]), set()).add(" ".join(w[:i]))
-    many = [h for h, x in heads.items() if len(x) > 1]
-    return {f"{h} {t}" for h in many for t, x in tails.items() if len(x) > 1} - set(terms)
-
-

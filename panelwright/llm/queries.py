@@ -22,15 +22,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_links(spark, d).where("confidence >= 0.5").select("drug_id", "xref_id")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def typed(spark: SparkSession, d: str) -> DataFrame:
     subtypes = table(spark, d, "patients").select(F.lit("subtype").alias("field"), F.col("patient_id").alias("record_id"), F.col("subtype").alias("value"))
     drugs = table(spark, d, "drug_assays").select(F.lit("drug_name").alias("field"), F.col("assay_id").alias("record_id"), F.col("drug_name").alias("value"))
-    return p2_canonical.mapped_records(subtypes.unionByName(drugs), table(spark, d, "ref_terms"))
+    return subtypes.unionByName(drugs)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_canonical.mapped_records(typed(spark, d), table(spark, d, "ref_terms"))
 
 
 def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
-    found = p2_found(spark, d).where("term_id = 'none'")
-    return found.groupBy("field_name").agg(F.count("*").alias("records"))
+    return p2_canonical.unmatched_values(typed(spark, d), table(spark, d, "ref_terms"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """The numbered problems on small fixtures: brute force, round trips, nulls, ties, repeats, empty tables, clashing names."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import components, ids, names, p1_linkage, p2_canonical, p3_splits, p4_knn, p5_topn, p6_overlap, p7_packing, p8_leaks, p9_truncation
+from panelwright.llm import components, ids, names, p1_linkage, p2_canonical, p3_splits, p4_knn, p5_topn, p6_overlap, p7_packing, p8_leaks, p9_truncation, queries
+
+SF = "/root/testdata/sf0.01"
 
 
 def rows(df, *cols):
@@ -32,6 +35,25 @@ def test_edits_is_levenshtein():
         assert names.edits(a, b) == plain(a, b)
 
 
+def test_slips_count_changed_places_once():
+    def plain(a, b):
+        before, last = None, list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
+                if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    best = min(best, before[j - 2] + 1)
+                row.append(best)
+            before, last = last, row
+        return last[-1]
+
+    r = random.Random(11)
+    for _ in range(2000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in "ab")
+        assert names.slips(a, b) == plain(a, b)
+
+
 def test_bk_tree_finds_all_within():
     r = random.Random(2)
     words = ["".join(r.choice("abcd") for _ in range(r.randint(3, 8))) for _ in range(200)]
@@ -143,10 +165,19 @@ def test_sharded_list_gives_the_same(spark, monkeypatch):
     values = spark.createDataFrame([("drug_name", "rispovastutataksel"), ("subtype", "liposarcoma (biphasic)")], "field string, value string")
     whole = rows(p2_canonical.mapped_values(values, terms), "field", "value", "term_id")
     monkeypatch.setattr(p2_canonical, "SHARD_ENTRIES", 2)
-    monkeypatch.setattr(p2_canonical, "BLOCK_VALUES", 1)
+    monkeypatch.setattr(p2_canonical, "BLOCK_FORMS", 1)
     assert rows(p2_canonical.mapped_values(values, terms), "field", "value", "term_id") == whole
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
+def test_small_shards_change_no_answer(spark, monkeypatch):
+    whole = set(rows(queries.p2_found(spark, SF), "field_name", "record_id", "term_id"))
+    monkeypatch.setattr(p2_canonical, "SHARD_ENTRIES", 50)
+    assert set(rows(queries.p2_found(spark, SF), "field_name", "record_id", "term_id")) == whole and ("subtype", "ONX00000181", "none") in whole
+    listed = {tuple(r)[:2]: r["records"] for r in queries.p2_unmatched(spark, SF).collect()}
+    assert sum(listed.values()) == sum(t == "none" for *_, t in whole)
+
+
 # ---------------------------------------------------------------- 3
 
 
