@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.functions.ranks import dealt
 from panelwright.operators.metrics import interaction_rho
+from panelwright.session import checkpointed
 
 
 def uniform(seed: int, *cols: str | Column) -> Column:
@@ -21,9 +23,9 @@ def normal(seed: int, *cols: str | Column) -> Column:
 
 def permuted_within_item(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     """(b, item, unit, y_true, y_pred): each draw deals an item's truths anew among its units; the values stay the same."""
-    p = panel.select("item", "unit", "y_true", "y_pred").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = W.partitionBy("b", "item")
-    p = p.withColumn("slot", F.row_number().over(w.orderBy("unit"))).withColumn("dest", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "b", "item", "unit")))))
+    p = checkpointed(panel.select("item", "unit", "y_true", "y_pred")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    p = dealt(p, ["b", "item"], F.md5(F.concat_ws(":", F.lit(f"{seed} slot"), "b", "item", "unit")), "slot")
+    p = checkpointed(dealt(p, ["b", "item"], F.md5(F.concat_ws(":", F.lit(seed), "b", "item", "unit")), "dest"))
     given = p.select("b", "item", F.col("dest").alias("slot"), "y_true")
     return p.select("b", "item", "unit", "slot", "y_pred").join(given, ["b", "item", "slot"]).select("b", "item", "unit", "y_true", "y_pred")
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.functions.ranks import leave_one_out_mean
 from panelwright.operators import models as L
-from panelwright.operators.matrix import reindexed, scaled, z_scored
+from panelwright.operators.matrix import along, reindexed, scaled, z_scored
 from panelwright.operators.splits import hashed_folds
 from panelwright.session import checkpointed
 
@@ -51,9 +52,8 @@ def additive(deltas: DataFrame) -> DataFrame:
 
 def additive_left_out(deltas: DataFrame) -> DataFrame:
     """For every treated line, its drug's mean delta over the other lines; a drug that only this line has had gives none."""
-    w = W.partitionBy("drug", "feature")
-    n, total = F.count(F.lit(1)).over(w), F.sum("value").over(w)
-    return deltas.select("line", "drug", "feature", F.when(n > 1, (total - F.col("value")) / (n - 1)).alias("value")).where("value IS NOT NULL")
+    others = leave_one_out_mean(deltas.select("line", "drug", "feature", "value"), ["drug", "feature"], "value", "mean")
+    return others.where("mean IS NOT NULL").select("line", "drug", "feature", F.col("mean").alias("value"))
 
 
 def nearest_treated(deltas: DataFrame, likeness: DataFrame, k: int) -> DataFrame:
@@ -123,9 +123,7 @@ def conditional_deltas(rows: DataFrame, base: DataFrame, asked: DataFrame, panel
 
 def dense_rows(deltas: DataFrame, panel: list[str]) -> DataFrame:
     """(line, drug, delta): a vector along ``panel`` for every pair, zero where nothing is stored."""
-    cell = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
-    g = deltas.where(F.col("feature").isin(panel)).groupBy("line", "drug").agg(cell.alias("m"))
-    return g.select("line", "drug", F.transform(F.array(*[F.lit(p) for p in panel]), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0))).alias("delta"))
+    return along(deltas.select("line", "drug", "feature", "value"), ["line", "drug"], panel, "delta")
 
 
 def fidelity(made: DataFrame, real: DataFrame, n_top: int, block: int = 512) -> DataFrame:

@@ -34,9 +34,8 @@ def size_factors(m: DataFrame) -> DataFrame:
 
 def z_scored(m: DataFrame) -> DataFrame:
     """Every feature to mean 0 and population spread 1; no spread counts as 1."""
-    w = W.partitionBy("feature")
-    sd = F.stddev_pop("value").over(w)
-    return m.select("sample", "feature", ((F.col("value") - F.avg("value").over(w)) / F.when(sd < 1e-12, 1.0).otherwise(sd)).alias("value"))
+    stats = m.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return m.join(stats, "feature").select("sample", "feature", ((F.col("value") - F.col("mean")) / F.when(F.col("sd") < 1e-12, 1.0).otherwise(F.col("sd"))).alias("value"))
 
 
 def scaler(train: DataFrame, floor: float) -> DataFrame:
@@ -55,11 +54,23 @@ def scatter(tokens: DataFrame, names: DataFrame) -> DataFrame:
     return t.join(names, "token").groupBy("cell", "feature").agg(F.sum("value").alias("value"))
 
 
+def along(m: DataFrame, keys: list[str], panel: list[str], name: str) -> DataFrame:
+    """(keys, name): a vector along ``panel`` for each group of (keys, feature, value), zero where a feature is missing.
+
+    Features become places once, by a join with the vocabulary; a group's stored cells are put in their places.
+    """
+    places = m.sparkSession.createDataFrame(list(enumerate(panel)), f"_at int, feature {m.schema['feature'].dataType.simpleString()}")
+    n = len(panel)
+    cells = m.join(F.broadcast(places), "feature").groupBy(*keys, "_at").agg(F.sum("value").alias("value"))  # a vocabulary
+    g = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("c"))
+    # the stored cells in their order, with as many zeros between as are missing
+    gaps = F.transform("c", lambda c, i: F.concat(F.array_repeat(F.lit(0.0), (c["_at"] - F.when(i == 0, -1).otherwise(F.get("c", i - 1)["_at"]) - 1).cast("int")), F.array(c["value"].cast("double"))))
+    return g.select(*keys, F.concat(F.flatten(gaps), F.array_repeat(F.lit(0.0), (F.lit(n - 1) - F.element_at("c", -1)["_at"]).cast("int"))).alias(name))
+
+
 def reindexed(m: DataFrame, panel: list[str]) -> DataFrame:
     """A vector for each sample along ``panel``, zero where a feature is missing, further features left out."""
-    filled = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
-    g = m.where(F.col("feature").isin(panel)).groupBy("sample", "feature").agg(F.sum("value").alias("value")).groupBy("sample").agg(filled.alias("m"))
-    return g.select("sample", F.transform(F.array(*[F.lit(p) for p in panel]), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0))).alias("vector"))
+    return along(m, ["sample"], panel, "vector")
 
 
 def unit_norm(v: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.ranks import avg_rank, pct_rank, table_avg_rank
+from panelwright.functions.ranks import group_avg_rank, table_avg_rank, with_group
+from panelwright.session import checkpointed
 
 GRID = 9  # decimals that values are rounded to before they are ranked, so that ulp dust breaks no ties
 
@@ -24,15 +25,11 @@ def flat(*cols: str) -> Column:
 
 
 def centred_ranks(panel: DataFrame, keys: list[str], min_n: int) -> DataFrame:
-    w = W.partitionBy(*keys)
-    return (
-        panel.withColumn("t", F.round("y_true", GRID))
-        .withColumn("q", F.round("y_pred", GRID))
-        .withColumn("n", F.count(F.lit(1)).over(w))
-        .where(F.col("n") >= min_n)
-        .withColumn("rt", avg_rank("t", *keys) - (F.col("n") + 1) / 2)
-        .withColumn("rq", avg_rank("q", *keys) - (F.col("n") + 1) / 2)
-    )
+    """Average ranks of truth and prediction within ``keys``, less their mean, of groups of ``min_n`` rows or more."""
+    p = panel.select("*", F.round("y_true", GRID).alias("t"), F.round("y_pred", GRID).alias("q"))
+    p = with_group(p, keys, n=F.count(F.lit(1))).where(F.col("n") >= min_n)
+    p = group_avg_rank(p, keys, {"t": "rt", "q": "rq"})
+    return p.withColumn("rt", F.col("rt") - (F.col("n") + 1) / 2).withColumn("rq", F.col("rq") - (F.col("n") + 1) / 2)
 
 
 def within_item_rho(panel: DataFrame, *extra: str, min_n: int = 3, name: str = "rho") -> DataFrame:
@@ -47,8 +44,16 @@ def within_item_rho(panel: DataFrame, *extra: str, min_n: int = 3, name: str = "
 
 
 def unit_centred(panel: DataFrame, *extra: str) -> DataFrame:
-    w = W.partitionBy(*extra, "unit")
-    return panel.select(*extra, "unit", "item", (F.col("y_true") - F.avg("y_true").over(w)).alias("y_true"), (F.col("y_pred") - F.avg("y_pred").over(w)).alias("y_pred"))
+    """Truth and prediction less the unit's means; ``spread`` is whether the prediction keeps any, beside its own size.
+
+    A prediction that is constant within units leaves only rounding dust, which must not be ranked: where its spread is
+    at most 1e-9 of that before, every row gives 0.
+    """
+    p = with_group(checkpointed(panel.select(*extra, "unit", "item", "y_true", "y_pred")), [*extra, "unit"], mt=F.avg("y_true"), mq=F.avg("y_pred"))
+    p = p.select(*extra, "unit", "item", (F.col("y_true") - F.col("mt")).alias("y_true"), (F.col("y_pred") - F.col("mq")).alias("y_pred"), F.col("y_pred").alias("_q"))
+    whole = p.groupBy(*extra).agg((F.stddev_pop("y_pred") > 1e-9 * F.stddev_pop("_q")).alias("spread"))
+    p = p.join(whole, list(extra)) if extra else p.crossJoin(F.broadcast(whole))
+    return p.drop("_q").withColumn("y_pred", F.when(F.col("spread"), F.col("y_pred")).otherwise(0.0))
 
 
 def interaction_rho(panel: DataFrame, *extra: str, min_n: int = 3) -> DataFrame:
@@ -61,19 +66,26 @@ def interaction_rho(panel: DataFrame, *extra: str, min_n: int = 3) -> DataFrame:
 
 
 def interaction_rho_balanced(panel: DataFrame, rounds: int = 12, min_n: int = 3) -> DataFrame:
-    """The interaction with unit and item means taken off in turn, so that neither level is left on unbalanced panels."""
-    p = panel.select("unit", "item", "y_true", "y_pred")
-    for _ in range(rounds):
-        for key in ("unit", "item"):
-            w = W.partitionBy(key)
-            p = p.select("unit", "item", (F.col("y_true") - F.avg("y_true").over(w)).alias("y_true"), (F.col("y_pred") - F.avg("y_pred").over(w)).alias("y_pred"))
-    return within_item_rho(p.select("item", F.round("y_true", 7).alias("y_true"), F.round("y_pred", 7).alias("y_pred")), min_n=min_n, name="interaction_rho")
+    """The interaction with unit and item means taken off in turn, so that neither level is left on unbalanced panels.
+
+    The levels are fitted on the panel's sums alone: in each round the units' levels are the means of what the items'
+    leave, and the other way round, so only a row a unit or item is carried on and the panel is read, not rewritten.
+    """
+    p = checkpointed(panel.select("unit", "item", "y_true", "y_pred"))
+    levels = {"unit": None, "item": p.select("item").distinct().select("item", F.lit(0.0).alias("t"), F.lit(0.0).alias("q"))}
+    for i in range(2 * rounds):
+        one, other = ("unit", "item") if i % 2 == 0 else ("item", "unit")
+        left = p.join(levels[other], other).groupBy(one).agg(F.avg(F.col("y_true") - F.col("t")).alias("t"), F.avg(F.col("y_pred") - F.col("q")).alias("q"))
+        levels[one] = checkpointed(left)
+    u, v = levels["unit"].toDF("unit", "t", "q"), levels["item"].toDF("item", "t2", "q2")
+    p = p.join(u, "unit").join(v, "item").select("item", *[F.round(F.col(y) - F.col(a) - F.col(b), 7).alias(y) for y, a, b in (("y_true", "t", "t2"), ("y_pred", "q", "q2"))])
+    return within_item_rho(p, min_n=min_n, name="interaction_rho")
 
 
 def global_rho(panel: DataFrame) -> DataFrame:
     """Spearman's correlation over all rows."""
     p = panel.select(F.round("y_true", GRID).alias("t"), F.round("y_pred", GRID).alias("q"))
-    p = table_avg_rank(table_avg_rank(p, "t", "rt"), "q", "rq")
+    p = group_avg_rank(p.withColumn("one", F.lit(1)), ["one"], {"t": "rt", "q": "rq"})
     return p.agg(F.round(pearson("rt", "rq"), 6).alias("global_rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -88,12 +100,17 @@ def regret_by_unit(panel: DataFrame, k: int, *extra: str) -> DataFrame:
 
 
 def regret_at_k(panel: DataFrame, *ks: int) -> DataFrame:
-    """(k, regret, units): the mean normalised regret; units with fewer than two items or no range don't count."""
-    out = None
-    for k in ks:
-        one = regret_by_unit(panel, k).agg(F.lit(k).alias("k"), F.round(F.avg("regret"), 6).alias("regret"), F.count(F.lit(1)).alias("units"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(k, regret, units): the mean normalised regret; units with fewer than two items or no range don't count.
+
+    One pass for all ``ks``: only the most of them of a unit's rows go on to be ranked.
+    """
+    stats = panel.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("y_true").alias("lo"), F.max("y_true").alias("hi")).where("n >= 2 AND hi > lo")
+    rn = F.row_number().over(W.partitionBy("unit").orderBy("y_pred", "item"))
+    top = panel.select("unit", "y_true", rn.alias("rn")).where(F.col("rn") <= max(ks)).groupBy("unit").agg(*[F.min(F.when(F.col("rn") <= k, F.col("y_true"))).alias(f"got_{k}") for k in ks])
+    each = stats.join(top, "unit").select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col(f"got_{k}") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("regret")) for k in ks])).alias("x"))
+    got = each.groupBy("x.k").agg(F.round(F.avg("x.regret"), 6).alias("regret"), F.count(F.lit(1)).alias("units"))
+    asked = panel.sparkSession.createDataFrame([(k,) for k in ks], "k int")
+    return asked.join(got, "k", "left").fillna(0, ["units"])
 
 
 def rho_by_item(panel: DataFrame, *extra: str, min_n: int = 3) -> DataFrame:
@@ -109,7 +126,8 @@ def per_item_spearman(panel: DataFrame, min_n: int = 3) -> DataFrame:
 
 
 def within_item_percentile(panel: DataFrame) -> DataFrame:
-    return panel.select("unit", "item", F.round(pct_rank("y_true", "item"), 6).alias("pct"))
+    p = group_avg_rank(with_group(panel.select("unit", "item", "y_true"), ["item"], n=F.count("y_true")), ["item"], {"y_true": "r"})
+    return p.select("unit", "item", F.round(F.col("r") / F.col("n"), 6).alias("pct"))
 
 
 def top_k_hit_rate(panel: DataFrame, k: int, key: str) -> DataFrame:
@@ -159,8 +177,12 @@ def personalization(panel: DataFrame, min_shared: int = 4) -> DataFrame:
     p = panel.select("unit", "item", F.round("y_pred", GRID).alias("q"))
     a, b = p.toDF("u", "item", "x"), p.toDF("v", "item", "y")
     pair = a.join(b, "item").where("u < v")
-    w = W.partitionBy("u", "v")
-    ranked = pair.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_shared).withColumn("rx", avg_rank("x", "u", "v")).withColumn("ry", avg_rank("y", "u", "v"))
+    w = W.partitionBy("u", "v")  # a pair has as many rows as they share items
+
+    def tied_rank(c: str) -> Column:
+        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("u", "v", c)) - 1) / F.lit(2.0)
+
+    ranked = pair.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_shared).withColumn("rx", tied_rank("x")).withColumn("ry", tied_rank("y"))
     each = ranked.groupBy("u", "v").agg(F.when(flat("rx", "ry"), 1.0).otherwise(pearson("rx", "ry")).alias("rho"))
     return each.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("rho"), 6).alias("mean_rho"))
 

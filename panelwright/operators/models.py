@@ -18,15 +18,26 @@ from panelwright.session import checkpointed
 
 ALPHAS = tuple(np.logspace(0, 8, 9))  # fixed values: the grid of penalties
 MAX_FEATURES = 2_000
+MAX_HELD = 4_000_000  # cells of moments that a task holds before it hands them on
 
 
 def moments(df: DataFrame, keys: Sequence[str], x: str, y: str | None = None) -> DataFrame:
-    """(keys, n, m): the flat upper products of [1, x..., y] for each group; rows with null parts don't count."""
+    """(keys, m): the flat upper half of the products of [1, x..., y] for each group; rows with null parts don't count.
+
+    A partition adds up its groups before it hands anything on, MAX_HELD cells at a time.
+    """
     keys = list(keys)
     cols = [*keys, x, *([y] if y else [])]
     have = df.select(*cols).where(F.col(x).isNotNull() & (F.col(y).isNotNull() if y else F.lit(True)))
 
     def part(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            out = [(*k, m[np.triu_indices(len(m))].tolist()) for k, m in held.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=[*keys, "m"])
+
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -35,11 +46,12 @@ def moments(df: DataFrame, keys: Sequence[str], x: str, y: str | None = None) ->
             if full.shape[1] > MAX_FEATURES + 2:
                 raise ValueError(f"more than {MAX_FEATURES} features")
             index = pdf.groupby(keys, dropna=False, sort=False).indices if keys else {(): np.arange(len(pdf))}
-            out = []
             for at in index.values():
-                z = full[at]
-                out.append((*[pdf[k].iloc[at[0]] for k in keys], (z.T @ z).ravel().tolist()))
-            yield pd.DataFrame(out, columns=[*keys, "m"])
+                z, k = full[at], tuple(pdf[c].iloc[at[0]] for c in keys)
+                held[k] = held[k] + z.T @ z if k in held else z.T @ z
+            if len(held) * full.shape[1] ** 2 > MAX_HELD:
+                yield flush()
+        yield flush()
 
     kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "m array<double>"])
     cells = have.mapInPandas(part, kinds).select(*keys, F.posexplode("m").alias("i", "v"))
@@ -48,8 +60,11 @@ def moments(df: DataFrame, keys: Sequence[str], x: str, y: str | None = None) ->
 
 
 def square(m: Sequence[float]) -> np.ndarray:
-    p = int(round(len(m) ** 0.5))
-    return np.array(m, float).reshape(p, p)
+    """The whole matrix of an upper half."""
+    p = int(round((np.sqrt(8 * len(m) + 1) - 1) / 2))
+    full = np.zeros((p, p))
+    full[np.triu_indices(p)] = m
+    return full + np.triu(full, 1).T
 
 
 def centred(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -108,10 +123,11 @@ def grid(m: np.ndarray, kind: str) -> np.ndarray:
     return max(top, 1e-12) * np.logspace(0, -3, 30)
 
 
-def fitted(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kind: str = "ridge", alphas: Sequence[float] = ALPHAS, min_n: int = 4) -> DataFrame:
+def fitted(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kind: str = "ridge", alphas: Sequence[float] | None = ALPHAS, min_n: int = 4) -> DataFrame:
     """(group, alpha, error, w): coefficients for each group, the penalty chosen by the squared error on left-out folds.
 
-    Groups of fewer than ``min_n`` rows get none.  Of equal errors the larger penalty wins.
+    Groups of fewer than ``min_n`` rows get none.  Of equal errors the larger penalty wins.  ``alphas`` of None takes the
+    grid of the kind, on features of unit spread.
     """
     group = list(group)
     per_fold = moments(rows, [*group, fold], x, y)
@@ -121,8 +137,11 @@ def fitted(rows: DataFrame, group: Sequence[str], x: str, y: str, fold: str, kin
         total = sum(parts)
         if total[0, 0] < min_n:
             return pd.DataFrame(columns=[*group, "alpha", "error", "w"])
-        best, error = chosen(parts, kind, alphas)
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in group], best, error, FITS[kind](total, best).tolist())], columns=[*group, "alpha", "error", "w"])
+        sd, by = scaled(total) if alphas is None else (1.0, 1.0)
+        best, error = chosen([p * by for p in parts], kind, grid(total * by, kind) if alphas is None else alphas)
+        w = FITS[kind](total * by, best)
+        w[1:] /= sd
+        return pd.DataFrame([(*[pdf[k].iloc[0] for k in group], best, error, w.tolist())], columns=[*group, "alpha", "error", "w"])
 
     kinds = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in group), "alpha double, error double", "w array<double>"])
     # a group has one row a fold
@@ -171,25 +190,88 @@ def predicted(x: str = "x", w: str = "w"):
     return F.col(w)[0] + F.aggregate(slopes, F.lit(0.0), lambda s, v: s + v)
 
 
-def components(df: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, directions, variances) of the ``k`` first principal components, from the summed products."""
-    m = moments(df, [], x).first()
-    n, mean, c = centred(square(m["m"]))
-    values, vectors = np.linalg.eigh(c / max(n - 1, 1))
+def leading(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, values) of the ``k`` first components of a matrix of products; the largest loading is positive."""
+    values, vectors = np.linalg.eigh(c)
     order = np.argsort(-values)[: max(1, min(k, len(values)))]
     v = vectors[:, order]
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)  # the largest loading is positive
-    return mean, v, values[order]
+    return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1), values[order]
+
+
+def components(df: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, directions, variances) of the ``k`` first principal components, from the summed products."""
+    n, mean, c = centred(square(moments(df, [], x).first()["m"]))
+    v, values = leading(c / max(n - 1, 1), k)
+    return mean, v, values
+
+
+def dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda t, v: t + v)
 
 
 def on_components(df: DataFrame, x: str, mean: np.ndarray, directions: np.ndarray, name: str = "x") -> DataFrame:
-    """``df`` with ``name`` the scores of ``x`` along directions that another table may have given."""
-    off = [float(a) for a in mean]
+    """``df`` with ``name`` the scores of ``x`` along directions that another table may have given, broadcast as one row."""
+    shift = [float(a) for a in mean @ directions]
+    row = df.sparkSession.createDataFrame([([[float(a) for a in col] for col in directions.T], shift)], "_w array<array<double>>, _o array<double>")
+    return df.crossJoin(F.broadcast(row)).withColumn(name, F.zip_with("_w", "_o", lambda w, o: dot(F.col(x), w) - o)).drop("_w", "_o")
+
 
-    def score(row):
-        return F.aggregate(F.zip_with(F.zip_with(F.col(x), F.array(*map(F.lit, off)), lambda a, b: a.cast("double") - b), F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+def fold_components(profiles: DataFrame, folds: DataFrame, x: str, k: int, unit_spread: bool = False) -> DataFrame:
+    """(f, unit, x): for each fold f, every unit's scores on the ``k`` first components of the units outside f.
 
-    return df.withColumn(name, F.array(*[score([float(a) for a in col]) for col in directions.T]))
+    Means, spreads and directions come from the moments of the other folds alone, so a fold's units have no part in
+    what describes them.  ``profiles``: unit and ``x``; ``folds``: unit, fold.  A feature without spread counts as 0.
+    With ``unit_spread`` the scores have spread 1 over the other folds.
+    """
+    held = profiles.join(folds.select("unit", "fold"), "unit")
+    parts = {r["fold"]: square(r["m"]) for r in moments(held, ["fold"], x).collect()}  # a row a fold
+    out = []
+    for f in sorted(parts):
+        rest = sum(parts.values()) - parts[f]
+        n, mean, c = centred(rest)
+        if n < 1:
+            continue
+        sd = np.sqrt(np.maximum(np.diag(c), 0) / n)
+        by = np.where(sd <= 1e-9 * np.maximum(np.abs(mean), 1e-12), 0.0, 1 / np.where(sd > 0, sd, 1.0))
+        v, values = leading(c * np.outer(by, by) / n, k)
+        w = by[:, None] * v / (np.sqrt(np.maximum(values, 1e-12)) if unit_spread else 1)
+        out.append((f, w.T.tolist(), (mean @ w).tolist()))
+    spaces = profiles.sparkSession.createDataFrame(out, f"f {folds.schema['fold'].dataType.simpleString()}, _w array<array<double>>, _o array<double>")
+    return profiles.crossJoin(F.broadcast(spaces)).select("f", "unit", F.zip_with("_w", "_o", lambda w, o: dot(F.col(x), w) - o).alias("x"))
+
+
+def cross_validated(panel: DataFrame, folds: DataFrame, spaces: DataFrame, items: Sequence[str] = ("item",), per_item: bool = True, y: str = "y_true", alphas: Sequence[float] | None = ALPHAS, kind: str = "ridge", min_n: int = 4, least: int = 0, reshape=None) -> DataFrame:
+    """(unit, items, fold, y_true, y_pred, y_resid, y_prior, alpha) of every row, predicted by the other folds alone.
+
+    The prior is the other folds' mean of the item, or of all items where it has none; the residual is a linear fit on
+    ``spaces`` (f, unit, x), one for each item or one for all, with the penalty chosen inside the other folds, each of
+    them left out in turn; an item without a fit has residual 0.  ``reshape`` may turn x into further features before
+    the fit, or give each row several times with variants of them, numbered k, of which the best is chosen likewise.  ``alphas`` of None takes the grid of the kind, on features scaled by the other folds.  Items of fewer than
+    ``least`` rows are left out; a fit takes ``min_n``.  Folds are a grouping column, so all are fitted at once.
+    """
+    items = list(items)
+    p = panel.select("unit", *items, F.col(y).alias("y_true")).where("y_true IS NOT NULL").join(folds.select("unit", F.col("fold").alias("g")), "unit")
+    if least:
+        p = p.join(p.groupBy(*items).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least), items, "left_semi")
+    p = checkpointed(p)
+    by = p.groupBy(*items, F.col("g").alias("f")).agg(F.sum("y_true").alias("s"), F.count(F.lit(1)).alias("k"))
+    every = p.select(F.col("g").alias("f")).distinct()  # a row a fold
+    whole = by.groupBy(*items).agg(F.sum("s").alias("ts"), F.sum("k").alias("tk")).crossJoin(F.broadcast(every)).join(by, [*items, "f"], "left").fillna(0, ["s", "k"])
+    rest = by.groupBy("f").agg(F.sum("s").alias("fs"), F.sum("k").alias("fk")).crossJoin(F.broadcast(by.agg(F.sum("s").alias("as"), F.sum("k").alias("ak"))))
+    prior = F.when(F.col("tk") > F.col("k"), (F.col("ts") - F.col("s")) / (F.col("tk") - F.col("k"))).otherwise((F.col("as") - F.col("fs")) / (F.col("ak") - F.col("fk")))
+    prior = whole.join(F.broadcast(rest), "f").select(*items, "f", prior.alias("y_prior"))
+    rows = p.join(spaces, "unit").join(prior, [*items, "f"]).withColumn("_e", F.col("y_true") - F.col("y_prior"))
+    rows = checkpointed(reshape(rows) if reshape else rows)
+    group = ["f", *(items if per_item else [])]
+    variants = ["k"] if "k" in rows.columns else []
+    w = fitted(rows.where("g <> f"), [*group, *variants], "x", "_e", "g", kind, alphas, min_n)
+    if variants:
+        w = w.groupBy(*group).agg(F.min_by(F.struct("k", "alpha", "w"), F.struct("error", "k")).alias("best")).select(*group, F.col("best.k").alias("_k"), "best.alpha", "best.w")
+    out = rows.where("g = f").join(w.select(*group, "alpha", "w", *(["_k"] if variants else [])), group, "left")
+    if variants:
+        out = out.where(F.col("k") == F.coalesce("_k", F.lit(0)))
+    out = out.withColumn("y_resid", F.coalesce(predicted(), F.lit(0.0)))
+    return out.select("unit", *items, F.col("f").alias("fold"), "y_true", (F.col("y_prior") + F.col("y_resid")).alias("y_pred"), "y_resid", "y_prior", "alpha")
 
 
 def reduced(df: DataFrame, x: str, k: int, name: str = "x") -> DataFrame:

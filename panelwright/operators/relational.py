@@ -44,7 +44,8 @@ def first_match(left: DataFrame, lookups: Sequence[tuple[DataFrame, str]], value
 
 def thick_groups(df: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
     """The rows of groups that have ``least`` rows or more."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("_n") >= least).drop("_n")
+    thick = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return df.join(thick, list(keys), "left_semi")
 
 
 def complete_cases(df: DataFrame, row: str, col: str, share: float) -> DataFrame:

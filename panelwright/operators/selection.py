@@ -30,17 +30,15 @@ def concentration(panel: DataFrame, by: str, share: float = 0.5) -> DataFrame:
     return g.select("units", "distinct_items", "modal_item", F.round(F.col("top") / F.col("units"), 6).alias("modal_share"), F.round(F.col("act") / F.col("units"), 6).alias("active_share"))
 
 
-def class_hit_rate(panel: DataFrame, classes: DataFrame, *ks: int) -> DataFrame:
-    """(k, hit_rate, units): units whose k lowest predictions hold an item of the truly best item's class; units whose best has none don't count."""
+def class_hit_rate(panel: DataFrame, classes: DataFrame, *ks: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(extra, k, hit_rate, units): units whose k lowest predictions hold an item of the truly best item's class; units whose best has none don't count."""
+    keys = [*extra, "unit"]
     p = panel.join(classes, "item", "left")
-    best = p.groupBy("unit").agg(F.min_by("class", F.struct("y_true", "item")).alias("best_class")).where("best_class IS NOT NULL")
-    ranked = p.withColumn("rn", F.row_number().over(W.partitionBy("unit").orderBy("y_pred", "item"))).where(F.col("rn") <= max(ks)).join(best, "unit")
-    hit = ranked.groupBy("unit").agg(F.min(F.when(F.col("class") == F.col("best_class"), F.col("rn"))).alias("first"))
-    out = None
-    for k in ks:
-        one = hit.agg(F.lit(k).alias("k"), F.round(F.avg((F.coalesce("first", F.lit(1 << 30)) <= k).cast("double")), 6).alias("hit_rate"), F.count(F.lit(1)).alias("units"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    best = p.groupBy(*keys).agg(F.min_by("class", F.struct("y_true", "item")).alias("best_class")).where("best_class IS NOT NULL")
+    ranked = p.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy("y_pred", "item"))).where(F.col("rn") <= max(ks)).join(best, keys)
+    hit = ranked.groupBy(*keys).agg(F.min(F.when(F.col("class") == F.col("best_class"), F.col("rn"))).alias("first"))
+    each = hit.select(*extra, "first", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return each.groupBy(*extra, "k").agg(F.round(F.avg((F.coalesce("first", F.lit(1 << 30)) <= F.col("k")).cast("double")), 6).alias("hit_rate"), F.count(F.lit(1)).alias("units"))
 
 
 def interaction_by_class(panel: DataFrame, classes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.functions.ranks import dealt, with_group
+
 
 def leave_key_out(df: DataFrame, key: str, unit: str = "unit", missing: str | None = None) -> DataFrame:
     """Each value of ``key`` is a fold; null values are one fold named ``missing``, or none."""
@@ -20,10 +22,9 @@ def hashed_folds(df: DataFrame, k: int, unit: str = "unit") -> DataFrame:
 
 def stratified_folds(labels: DataFrame, k: int, seed: int) -> DataFrame:
     """Folds that spread every label; labels of fewer than ``k`` units are one label."""
-    n = F.count(F.lit(1)).over(W.partitionBy("label"))
-    p = labels.withColumn("label", F.when(n < k, F.lit("__rare__")).otherwise(F.col("label"))).groupBy("unit").agg(F.min("label").alias("label"))
-    order = F.md5(F.concat_ws(":", F.lit(seed), "unit"))
-    return p.select("unit", ((F.row_number().over(W.partitionBy("label").orderBy(order)) - 1) % k).alias("fold"))
+    p = with_group(labels.select("unit", "label"), ["label"], n=F.count(F.lit(1)))
+    p = p.withColumn("label", F.when(F.col("n") < k, F.lit("__rare__")).otherwise(F.col("label"))).groupBy("unit").agg(F.min("label").alias("label"))
+    return dealt(p, ["label"], F.md5(F.concat_ws(":", F.lit(seed), "unit")), "r").select("unit", ((F.col("r") - 1) % k).alias("fold"))
 
 
 def balanced_group_folds(df: DataFrame, k: int, unit: str = "unit", buckets: int = 64) -> DataFrame:
@@ -55,13 +56,14 @@ def overlapping_sides(folds: DataFrame) -> DataFrame:
     return both.groupBy("fold_id").agg(F.count(F.lit(1)).alias("both"))
 
 
-def fold_out_mean(df: DataFrame, folds: DataFrame, value: str = "y_true") -> DataFrame:
-    """For every row, the mean of its item outside its own fold, and of all items outside it where the item has no such row."""
+def fold_out_mean(df: DataFrame, folds: DataFrame, value: str = "y_true", extra: tuple[str, ...] = ()) -> DataFrame:
+    """For every row, the mean of its item outside its own fold, and of all items outside it where the item has no such row; ``extra`` columns make tables of their own."""
     p = df.join(folds.select("unit", "fold"), "unit")
-    by = p.groupBy("item", "fold").agg(F.sum(value).alias("s"), F.count(value).alias("k"))
-    item = by.groupBy("item").agg(F.sum("s").alias("ts"), F.sum("k").alias("tk"))
-    fold = by.groupBy("fold").agg(F.sum("s").alias("fs"), F.sum("k").alias("fk"))
-    total = by.agg(F.sum("s").alias("as"), F.sum("k").alias("ak"))
-    out = by.join(item, "item").join(F.broadcast(fold), "fold").crossJoin(F.broadcast(total))
+    by = p.groupBy(*extra, "item", "fold").agg(F.sum(value).alias("s"), F.count(value).alias("k"))
+    item = by.groupBy(*extra, "item").agg(F.sum("s").alias("ts"), F.sum("k").alias("tk"))
+    fold = by.groupBy(*extra, "fold").agg(F.sum("s").alias("fs"), F.sum("k").alias("fk"))
+    total = by.groupBy(*extra).agg(F.sum("s").alias("as"), F.sum("k").alias("ak"))
+    out = by.join(item, [*extra, "item"]).join(fold, [*extra, "fold"])
+    out = out.join(total, list(extra)) if extra else out.crossJoin(F.broadcast(total))
     mean = F.when(F.col("tk") > F.col("k"), (F.col("ts") - F.col("s")) / (F.col("tk") - F.col("k"))).otherwise((F.col("as") - F.col("fs")) / (F.col("ak") - F.col("fk")))
-    return p.join(out.select("item", "fold", mean.alias("y_base")), ["item", "fold"])
+    return p.join(out.select(*extra, "item", "fold", mean.alias("y_base")), [*extra, "item", "fold"])

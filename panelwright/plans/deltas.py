@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.operators import deltas as D
+from panelwright.operators import scores as Z6
 from panelwright.operators import signatures as V
 from panelwright.plans import panels as P
 from panelwright.plans.matrix import Z
@@ -94,3 +95,26 @@ def rules_on(s, d):
     pairs = b.select(F.col("p_brand").alias("item"), F.substring("p_brand", 1, 7).alias("k")).join(b.select(F.col("p_brand").alias("feature"), F.substring("p_brand", 1, 7).alias("k")), "k")
     rules = pairs.select("item", "feature", F.row_number().over(W.orderBy("feature", "item")).alias("rule"), F.when(F.col("feature") < F.col("item"), -1).otherwise(1).alias("sign"))
     return V.rule_offsets(P.dense(s, d), P.expr(s, d), rules).select("unit", "item", F.round("residual", 6).alias("residual"))
+
+
+V6_DRAWS = """y AS (SELECT l_suppkey AS unit, l_returnflag || l_linestatus AS item, round(avg(l_discount), 9) AS y_true FROM lineitem GROUP BY 1, 2),
+expr AS (SELECT line || ' ' || drug AS sample, line, drug, feature, value FROM real),
+z AS (SELECT line AS unit, drug AS item, feature, (value - avg(value) OVER (PARTITION BY feature)) / CASE WHEN stddev_pop(value) OVER (PARTITION BY feature) < 1e-12 THEN 1 ELSE stddev_pop(value) OVER (PARTITION BY feature) END AS z FROM expr),
+have AS (SELECT DISTINCT feature FROM z), pr AS (SELECT * FROM sets WHERE feature IN (SELECT feature FROM have)), sz AS (SELECT signature, count(*) AS n_features, max(direction) AS direction FROM pr GROUP BY 1),
+own AS (SELECT signature, unit, item, y_true, -avg(z * direction) AS y_pred FROM z JOIN pr USING (feature) JOIN y USING (unit, item) GROUP BY ALL),
+pe AS (SELECT b, item, unit, y_true, row_number() OVER (PARTITION BY b, item ORDER BY md5('9 slot:' || b || ':' || item || ':' || unit)) AS slot, row_number() OVER (PARTITION BY b, item ORDER BY md5('9:' || b || ':' || item || ':' || unit)) AS dest FROM y, range(20) t(b)),
+mi AS (SELECT a.b, a.item, a.unit, z.y_true FROM pe a JOIN pe z ON a.b = z.b AND a.item = z.item AND a.slot = z.dest),
+ord AS (SELECT b, feature, row_number() OVER (PARTITION BY b ORDER BY md5('9 set:' || b || ':' || feature)) AS k FROM have, range(20) t(b)),
+alls AS (SELECT 'own' AS kind, -1 AS b, signature, unit, item, y_true, y_pred FROM own UNION ALL SELECT 'label', b, signature, unit, item, mi.y_true, y_pred FROM own JOIN mi USING (unit, item)
+  UNION ALL SELECT 'random', b, signature, unit, item, y_true, -avg(z * direction) FROM ord JOIN sz ON k <= n_features JOIN z USING (feature) JOIN y USING (unit, item) GROUP BY ALL),
+c AS (SELECT kind, b, signature, unit, item, y_true - avg(y_true) OVER (PARTITION BY kind, b, signature, unit) AS y_true, y_pred - avg(y_pred) OVER (PARTITION BY kind, b, signature, unit) AS y_pred FROM alls)"""
+query("v6_score_signatures", f"""WITH {REAL}, {SETS}, {V6_DRAWS}, {P.ranks_sql("c", "kind, b, signature, item")}, v AS (SELECT kind, b, signature, {P.RHO} AS rho FROM r GROUP BY 1, 2, 3), o AS (SELECT signature, rho AS interaction FROM v WHERE kind = 'own'),
+gg AS (SELECT signature, round(y_true, 9) AS t, round(y_pred, 9) AS q FROM own), gr AS (SELECT signature, rank() OVER (PARTITION BY signature ORDER BY t) + (count(*) OVER (PARTITION BY signature, t) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY signature ORDER BY q) + (count(*) OVER (PARTITION BY signature, q) - 1) / 2.0 AS rq FROM gg),
+gl AS (SELECT signature, round(corr(rt, rq), 6) AS global FROM gr GROUP BY 1)
+SELECT signature, any_value(n_features) AS n_features, any_value(interaction) AS interaction, any_value(global) AS global, round(avg(CAST(rho >= interaction AS DOUBLE)) FILTER (WHERE kind = 'label'), 6) AS p_label,
+  round(quantile_cont(rho, 0.95) FILTER (WHERE kind = 'random'), 6) AS rnd_p95, round(avg(CAST(rho >= interaction AS DOUBLE)) FILTER (WHERE kind = 'random'), 6) AS p_vs_random FROM v JOIN o USING (signature) JOIN sz USING (signature) JOIN gl USING (signature) GROUP BY 1""")(lambda s, d: signature_scores(s, d))
+
+
+def signature_scores(s, d):
+    y = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.concat("l_returnflag", "l_linestatus").alias("item")).agg(F.round(F.avg("l_discount"), 9).alias("y_true"))
+    return Z6.score_signatures(real(s, d), y, sets(s, d), 20, 20, 9)

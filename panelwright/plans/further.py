@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.ranks import avg_rank, pct_rank
+from panelwright.functions.ranks import group_avg_rank, with_group
 from panelwright.operators import controls as C
 from panelwright.operators import deltas as D
 from panelwright.operators import matrix as X
@@ -20,7 +20,7 @@ from panelwright.plans.matrix import Z
 from panelwright.plans.models import FOLD, features, item_features
 from panelwright.plans.registry import query
 from panelwright.plans.transfer import side
-from panelwright.session import checkpointed, table
+from panelwright.session import checkpointed, table, vocabulary
 
 query("a2_merged_means", "SELECT l_partkey, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")(
     lambda s, d: R.merged_means(table(s, d, "lineitem"), ["l_partkey"], "l_returnflag", "l_quantity").select("l_partkey", "n", F.round("mean", 6).alias("mean"))
@@ -38,14 +38,14 @@ query("a26_quantiles", "SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0
 
 LINES = "SELECT l_orderkey, l_linenumber, {} AS rank FROM lineitem"
 TIES = "(rank() OVER (PARTITION BY l_partkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_partkey, l_quantity) - 1) / 2.0)"
-query("w2_average_tie_rank", LINES.format(TIES))(lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", avg_rank("l_quantity", "l_partkey").alias("rank")))
+query("w2_average_tie_rank", LINES.format(TIES))(lambda s, d: group_avg_rank(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), ["l_partkey"], {"l_quantity": "rank"}).select("l_orderkey", "l_linenumber", "rank"))
 query("w3_percentile_rank", LINES.format(f"round({TIES} / count(l_quantity) OVER (PARTITION BY l_partkey), 9)"))(
-    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(pct_rank("l_quantity", "l_partkey"), 9).alias("rank"))
+    lambda s, d: group_avg_rank(with_group(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), ["l_partkey"], n=F.count("l_quantity")), ["l_partkey"], {"l_quantity": "r"}).select("l_orderkey", "l_linenumber", F.round(F.col("r") / F.col("n"), 9).alias("rank"))
 )
 query("w6_head_of_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")(
     lambda s, d: table(s, d, "orders").select("o_custkey", "o_orderkey").withColumn("r", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))).where("r <= 3").drop("r")
 )
-query("w7_group_size", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.count(F.lit(1)).over(W.partitionBy("o_custkey")).alias("n")))
+query("w7_group_size", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")(lambda s, d: with_group(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], n=F.count(F.lit(1))).select("o_orderkey", "n"))
 query("o1_sorted_nulls_last", "SELECT lang, n_chars, doc_id FROM documents ORDER BY lang NULLS LAST, n_chars NULLS LAST, doc_id")(
     lambda s, d: table(s, d, "documents").select("lang", "n_chars", "doc_id").orderBy(F.asc_nulls_last("lang"), F.asc_nulls_last("n_chars"), "doc_id")
 )
@@ -55,10 +55,10 @@ query("o3_row_top_k", f"WITH {P.DENSE} SELECT unit, item FROM (SELECT unit, item
 
 
 @query("n14_dense_rows", """SELECT expression_matrix_uri AS uri, position - 1 AS position, CAST(profile[position] AS DOUBLE) AS value FROM expression_profiles, generate_series(1, 64) g(position)
-WHERE len(profile) = 64 AND len(list_filter(profile, lambda y: y IS NULL)) = 0""")
+WHERE len(profile) = 64 AND len(list_filter(profile, lambda y: y IS NULL OR isnan(y))) = 0""")
 def dense_rows(s, d):
     """Rows of full length in single precision; a row with a missing entry is refused, not filled."""
-    p = table(s, d, "expression_profiles").where((F.size("profile") == 64) & ~F.exists("profile", lambda y: y.isNull()))
+    p = table(s, d, "expression_profiles").where((F.size("profile") == 64) & ~F.exists("profile", lambda y: y.isNull() | F.isnan(y)))
     return p.select(F.col("expression_matrix_uri").alias("uri"), F.posexplode(F.transform("profile", lambda y: y.cast("float"))).alias("position", "value")).withColumn("value", F.col("value").cast("double"))
 
 
@@ -118,7 +118,7 @@ SELECT drug, line, feature, round(coalesce(value, 0), 6) AS value FROM g LEFT JO
 def conditional(s, d):
     """Deltas for the lines as another measure describes them: their mean prices by brand."""
     base = P.with_parts(s, d, "l_extendedprice").groupBy(F.col("l_suppkey").alias("line"), F.col("p_brand").alias("feature")).agg(F.avg("l_extendedprice").alias("value"))
-    names = [r[0] for r in table(s, d, "part").select("p_brand").distinct().orderBy("p_brand").limit(L.MAX_FEATURES).collect()]  # a vocabulary
+    names = vocabulary(table(s, d, "part"), "p_brand", L.MAX_FEATURES)
     asked = P.cells(s, d).where(~F.col("is_control")).select("line", "drug")
     return shown(D.conditional_deltas(P.cells(s, d), base, asked, names, 5))
 

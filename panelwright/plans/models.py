@@ -11,7 +11,7 @@ from panelwright.operators import models as L
 from panelwright.operators import splits as S
 from panelwright.plans import panels as P
 from panelwright.plans.registry import query
-from panelwright.session import checkpointed, table
+from panelwright.session import checkpointed, table, vocabulary
 
 FOLD = "CAST('0x' || left(md5(CAST(unit AS VARCHAR)), 6) AS INTEGER) % 5"
 
@@ -33,60 +33,50 @@ def cv_rho(s, d):
     return M.within_item_rho(q)
 
 
+def profiles(s, d):
+    """(unit, vector): the unit's scaled profile over brands."""
+    e = X.scaled(P.expr(s, d), 1e4, log=True)
+    return checkpointed(X.reindexed(e, vocabulary(table(s, d, "part"), "p_brand", L.MAX_FEATURES)).withColumnRenamed("sample", "unit"))
+
+
 def features(s, d, k=5):
-    """(unit, x): the first components of the unit's scaled profile."""
-    e = X.z_scored(X.scaled(P.expr(s, d), 1e4, log=True))
-    names = [r[0] for r in table(s, d, "part").select("p_brand").distinct().orderBy("p_brand").limit(L.MAX_FEATURES).collect()]  # a vocabulary
-    v = checkpointed(X.reindexed(e, names))
-    return L.reduced(v, "vector", k).select(F.col("sample").alias("unit"), "x")
+    """(unit, x): the first components of all units' scaled profiles, for fits that are carried elsewhere."""
+    return L.reduced(L.standardised(profiles(s, d), "vector"), "vector", k).select("unit", "x")
 
 
-def rows(s, d, k=5):
-    p = P.dense(s, d)
-    r = p.join(features(s, d, k), "unit").join(S.hashed_folds(p, 5), "unit")
-    base = S.fold_out_mean(p, S.hashed_folds(p, 5)).select("unit", "item", "y_base")
-    return checkpointed(r.join(base, ["unit", "item"]).withColumn("resid", F.col("y_true") - F.col("y_base")))
+def held_out(s, d, k=5, panel=None, unit_spread=False, **how):
+    """Every row of the dense panel predicted by the other folds: scaler, components, item means and slopes come from them alone."""
+    p = P.dense(s, d) if panel is None else panel
+    folds = checkpointed(S.hashed_folds(p, 5))
+    return L.cross_validated(p, folds, L.fold_components(profiles(s, d), folds, "vector", k, unit_spread), **how)
 
 
-def scored(r, w, keys):
-    out = (r.join(w, keys, "left") if keys else r).withColumn("y_resid", F.coalesce(L.predicted(), F.lit(0.0)))
-    return out.select("unit", "item", "fold", "y_true", F.round(F.col("y_base") + F.col("y_resid"), 9).alias("y_pred"), F.round("y_resid", 9).alias("y_resid"))
+def shown(r):
+    return r.select("unit", "item", "fold", "y_true", F.round("y_pred", 9).alias("y_pred"), F.round("y_resid", 9).alias("y_resid"))
 
 
 @query("mod_p2_shared_ridge")
 def p2(s, d):
-    """One slope for all items on the residual of the item's mean, penalty by left-out folds."""
-    return shared(rows(s, d))
+    """One slope for all items on the residual of the item's mean, penalty by folds left out inside the training folds."""
+    return shown(held_out(s, d, per_item=False))
 
 
-def shared(r):
-    w = L.fitted(r, [], "x", "resid", "fold")
-    out = r.crossJoin(F.broadcast(w)).withColumn("y_resid", L.predicted())
-    return out.select("unit", "item", "fold", "y_true", F.round(F.col("y_base") + F.col("y_resid"), 9).alias("y_pred"))
-
-
-query("mod_p3_ridge_by_item")(lambda s, d: (lambda r: scored(r, L.fitted(r, ["item"], "x", "resid", "fold"), ["item"]))(rows(s, d)))
+query("mod_p3_ridge_by_item")(lambda s, d: shown(held_out(s, d)))
 
 
 GAMMAS = tuple(float(g) for g in np.logspace(-2, 0.5, 6))  # fixed values: the widths tried
 
 
 def kernels(r):
-    """``r`` with ``xs``, its Fourier features for each width."""
-    return r.withColumn("xs", F.array(*[L.fourier("x", 5, 24, g, 9) for g in GAMMAS]))
-
-
-def kernel_fits(r):
-    """(item, k, w): for each item the width, by its place, and the penalty of the least error on left-out folds."""
-    w = L.fitted(r.select("item", "fold", "resid", F.posexplode("xs").alias("k", "x")), ["item", "k"], "x", "resid", "fold", alphas=tuple(np.logspace(-2, 3, 6)))
-    return w.groupBy("item").agg(F.min_by(F.struct("k", "w"), F.struct("error", "k")).alias("best")).select("item", "best.*")
+    """``r`` six times, with its Fourier features for each width, numbered k."""
+    maps = F.array(*[F.struct(F.lit(k).alias("k"), L.fourier("x", 5, 24, g, 9).alias("x")) for k, g in enumerate(GAMMAS)])
+    return r.withColumn("_m", F.explode(maps)).drop("x").select("*", "_m.k", "_m.x").drop("_m")
 
 
 @query("mod_p4_kernel_by_item")
 def p4(s, d):
-    """Kernel ridge through random Fourier features, so that it too needs only summed products."""
-    r = kernels(checkpointed(L.standardised(rows(s, d), "x")))
-    return scored(r.join(kernel_fits(r), "item", "left").withColumn("x", F.col("xs")[F.col("k")]), None, None)
+    """Kernel ridge through random Fourier features, so that it too needs only summed products; width and penalty chosen in the training folds."""
+    return shown(held_out(s, d, unit_spread=True, alphas=tuple(np.logspace(-2, 3, 6)), reshape=kernels))
 
 
 def item_features(s, d):
@@ -97,28 +87,32 @@ def item_features(s, d):
 
 @query("mod_p5_bilinear")
 def p5(s, d):
-    """Ridge on unit features, item features and their products."""
-    r = checkpointed(rows(s, d, 3).join(item_features(s, d), "item").withColumn("x", X.bilinear(F.col("x"), F.col("g"))))
-    return shared(r)
+    """Ridge on unit features, item features and their products; an item without features counts as all zero."""
+    g = item_features(s, d).withColumnRenamed("g", "_g")
+
+    def products(r):
+        held = r.join(g, "item", "left").withColumn("_g", F.coalesce("_g", F.array(F.lit(0.0), F.lit(0.0))))
+        return held.withColumn("x", X.bilinear(F.col("x"), F.col("_g"))).drop("_g")
+
+    return shown(held_out(s, d, 3, per_item=False, reshape=products))
 
 
 @query("mod_p8_penalised_grid")
 def p8(s, d):
-    """Per item and fold, ridge, lasso and elastic net fitted on the other folds, the penalty chosen there; y_prior is the other folds' mean."""
-    r = rows(s, d)
+    """Per item and fold, ridge, lasso and elastic net of the other folds, the penalty from the kind's grid chosen there; y_prior is the other folds' mean."""
     out = None
     for kind in ("ridge", "lasso", "elastic_net"):
-        w = L.out_of_fold(r, ["item"], "x", "y_true", "fold", kind)
-        one = r.join(w, ["item", "fold"]).select(F.lit(kind).alias("penalty"), "unit", "item", "fold", "y_true", F.round(L.predicted(), 9).alias("y_pred"), F.round("y_prior", 9).alias("y_prior"))
+        one = held_out(s, d, kind=kind, alphas=None, min_n=5, least=8).select(F.lit(kind).alias("penalty"), "unit", "item", "fold", "y_true", F.round("y_pred", 9).alias("y_pred"), F.round("y_prior", 9).alias("y_prior"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def prior(s, d):
     """The prior alone, from two training rows on, as its SQL has it."""
-    r = rows(s, d)
-    w = L.out_of_fold(r, ["item"], "x", "y_true", "fold", "ridge", least=2, train=2)
-    return r.join(w, ["item", "fold"]).select(F.lit("ridge").alias("penalty"), "unit", "item", F.round("y_prior", 6).alias("y_prior"))
+    p = P.dense(s, d)
+    r = S.fold_out_mean(p, S.hashed_folds(p, 5))
+    n = r.groupBy("item", "fold").agg(F.count(F.lit(1)).alias("k")).join(r.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item").where("n - k >= 2").select("item", "fold")
+    return r.join(n, ["item", "fold"], "left_semi").select(F.lit("ridge").alias("penalty"), "unit", "item", F.round("y_base", 6).alias("y_prior"))
 
 
 query("mod_p8_prior", f"""WITH {P.DENSE}, p AS (SELECT *, {FOLD} AS fold FROM dense), t AS (SELECT item, sum(y_true) AS s, count(*) AS n FROM p GROUP BY 1), f AS (SELECT item, fold, sum(y_true) AS s, count(*) AS n FROM p GROUP BY 1, 2)
@@ -126,6 +120,37 @@ SELECT DISTINCT 'ridge' AS penalty, unit, item, round((t.s - f.s) / (t.n - f.n),
     prior
 )
 
+# on one feature a ridge has a closed form, so SQL can say the whole cross-validation
+ONE = f"""{P.DENSE}, u AS (SELECT l_suppkey AS unit, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1), p AS (SELECT dense.*, {FOLD} AS g FROM dense), un AS (SELECT unit, v, {FOLD} AS g FROM u WHERE unit IN (SELECT unit FROM p)),
+s AS (SELECT f, avg(v) FILTER (WHERE g <> f) AS mv, stddev_pop(v) FILTER (WHERE g <> f) AS sv FROM un, (SELECT DISTINCT g AS f FROM un) GROUP BY 1),
+i AS (SELECT f, item, avg(y_true) AS y_prior FROM p, (SELECT DISTINCT g AS f FROM p) WHERE g <> f GROUP BY 1, 2), r AS (SELECT s.f, p.*, (v - mv) / sv AS x, y_prior, y_true - y_prior AS e FROM p JOIN u USING (unit), s JOIN i ON i.f = s.f WHERE i.item = p.item),
+m AS (SELECT {{group}}, count(*) AS n, avg(x) AS mx, avg(e) AS me, var_pop(x) * count(*) AS xx, covar_pop(x, e) * count(*) AS xe FROM r WHERE g <> f GROUP BY {{group}}),
+o AS (SELECT unit, item, g AS fold, y_true, y_prior, coalesce(CASE WHEN n >= 4 THEN me + xe / (xx + 1.0) * (x - mx) END, 0) AS y_resid FROM r LEFT JOIN m USING ({{group}}) WHERE g = f)"""
+SHOW = "SELECT unit, item, fold, round(y_true, 6) AS y_true, round(y_prior + y_resid, 6) AS y_pred, round(y_resid, 6) AS y_resid FROM o"
+
+
+def on_price(s, d, per_item):
+    """A ridge of penalty 1 on the unit's mean price, scaled by the other folds."""
+    p = P.dense(s, d)
+    folds = checkpointed(S.hashed_folds(p, 5))
+    price = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.avg("l_extendedprice").alias("v")).select("unit", F.array("v").alias("vector"))
+    return L.cross_validated(p, folds, L.fold_components(price, folds, "vector", 1), per_item=per_item, alphas=(1.0,))
+
+
+def rounded(r):
+    return r.select("unit", "item", "fold", *[F.round(c, 6).alias(c) for c in ("y_true", "y_pred", "y_resid")])
+
+
+query("mod_p2_shared_ridge_on_price", f"WITH {ONE.format(group='f')} {SHOW}")(lambda s, d: rounded(on_price(s, d, False)))
+query("mod_p3_ridge_on_price_by_item", f"WITH {ONE.format(group='f, item')} {SHOW}")(lambda s, d: rounded(on_price(s, d, True)))
+
+
+@query("x8_cross_validated_ridge")
+def cv_ridge(s, d):
+    """How well the residuals of the ridge by item, all out of fold, rank the units within items, and the interaction of the whole predictions."""
+    r = checkpointed(held_out(s, d))
+    return M.within_item_rho(r.select("item", "y_true", F.col("y_resid").alias("y_pred"))).crossJoin(F.broadcast(M.interaction_rho(r).select("interaction_rho")))
+
 
 @query("v3_ridge_readout", """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:1]][1] AS x, CAST(label AS DOUBLE) AS y FROM embeddings), m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM e),
 w AS (SELECT sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1.0) AS w, any_value(mx) AS mx, any_value(my) AS my FROM e, m) SELECT vec_id, round(my + w * (x - mx), 6) AS y_pred FROM e, w""")
@@ -177,27 +202,23 @@ def n13(s, d):
 
 @query("d5_learned_deltas")
 def d5(s, d):
-    """Drug mean plus a ridge from the line's components to each feature's residual, one fit a drug and feature."""
+    """Drug mean plus a ridge from the line's components to each feature's residual, one fit a drug and feature, every line by the other folds' lines."""
     from panelwright.operators import deltas as D
 
-    real = D.real_deltas(P.cells(s, d))
-    mean = D.additive(real).withColumnRenamed("value", "mean")
-    r = real.join(mean, ["drug", "feature"]).join(features(s, d).withColumnRenamed("unit", "line"), "line").withColumn("resid", F.col("value") - F.col("mean"))
-    r = checkpointed(r.join(S.hashed_folds(r, 5, "line").withColumnRenamed("unit", "line"), "line"))
-    w = L.fitted(r, ["drug", "feature"], "x", "resid", "fold")
-    return r.join(w, ["drug", "feature"]).select("line", "drug", "feature", F.round(F.col("mean") + L.predicted(), 6).alias("value"))
+    real = D.real_deltas(P.cells(s, d)).withColumnRenamed("line", "unit")
+    folds = checkpointed(S.hashed_folds(real, 5))
+    out = L.cross_validated(real, folds, L.fold_components(profiles(s, d), folds, "vector", 5), items=("drug", "feature"), y="value")
+    return out.select(F.col("unit").alias("line"), "drug", "feature", F.round("y_pred", 6).alias("value"))
 
 
-@query("x9_refitted_null")
+@query("x9_refitted_null", f"""WITH {P.DENSE}, perm AS (SELECT b, item, unit, y_true, row_number() OVER (PARTITION BY b, item ORDER BY md5('5 slot:' || b || ':' || item || ':' || unit)) AS slot, row_number() OVER (PARTITION BY b, item ORDER BY md5('5:' || b || ':' || item || ':' || unit)) AS dest FROM dense, range(20) t(b)),
+p AS (SELECT a.b, a.item, a.unit, z.y_true, {FOLD.replace("unit", "a.unit")} AS fold FROM perm a JOIN perm z ON a.b = z.b AND a.item = z.item AND a.slot = z.dest),
+t AS (SELECT b, item, sum(y_true) AS s, count(*) AS n FROM p GROUP BY 1, 2), f AS (SELECT b, item, fold, sum(y_true) AS s, count(*) AS n FROM p GROUP BY 1, 2, 3),
+q AS (SELECT b, unit, item, y_true, round((t.s - f.s) / (t.n - f.n), 9) AS y_pred FROM p JOIN t USING (b, item) JOIN f USING (b, item, fold) WHERE t.n > f.n), {P.ranks_sql("q", "b, item")} SELECT b, {P.RHO} AS rho, count(*) AS n FROM r GROUP BY 1""")
 def x9(s, d):
-    """Truths permuted within items, and the whole cross-validation run on each draw."""
+    """Truths permuted within items, and the whole cross-validation run on each of twenty draws at once."""
     from panelwright.operators.controls import permuted_within_item
 
-    draws = permuted_within_item(P.dense(s, d), 3, 5)
-    folds = S.hashed_folds(P.dense(s, d), 5)
-    out = None
-    for b in range(3):
-        q = S.fold_out_mean(draws.where(F.col("b") == b).drop("b"), folds).select("item", "y_true", F.round("y_base", 9).alias("y_pred"))
-        one = M.within_item_rho(q).select(F.lit(b).alias("b"), "rho", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    draws = permuted_within_item(P.dense(s, d), 20, 5)
+    q = S.fold_out_mean(draws, S.hashed_folds(P.dense(s, d), 5), extra=("b",))
+    return M.within_item_rho(q.select("b", "item", "y_true", F.round("y_base", 9).alias("y_pred")), "b")

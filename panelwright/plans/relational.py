@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelwright.functions.ranks import leave_one_out_mean
 from panelwright.operators import relational as R
 from panelwright.plans import panels as P
 from panelwright.plans.registry import query
-from panelwright.session import table
+from panelwright.session import table, vocabulary
 
 PID = r"regexp_replace(regexp_replace(upper(regexp_replace({}, '\s+', '', 'g')), '_(TUMOR|ORGANOIDS?)$', ''), '^([A-Z]+)[-_]+([0-9])', '\1\2')"
 
@@ -142,7 +143,7 @@ query("r22_cross_few", """SELECT u.user_id, t.event_type, count(e.event_id) AS n
 def dense_counts(s, d):
     """Every user against every event type: a pivot over the few types fills the cells, so no rows are crossed."""
     e = table(s, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # a vocabulary
+    kinds = vocabulary(e, "event_type")
     wide = e.groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).fillna(0)
     return wide.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("event_type"), F.col(f"`{k}`").alias("n")) for k in kinds])).alias("x")).select("user_id", "x.event_type", "x.n")
 
@@ -203,10 +204,8 @@ query("s7_narrow_then_wide", "SELECT doc_id, length(text) AS n FROM documents WH
 
 
 def narrow_then_wide(s, d):
-    """The kept rows are found on the narrow columns; only then the wide one is read for them."""
-    docs = table(s, d, "documents")
-    kept = docs.where("source = 'benchchat' AND n_chars > 1000").select("doc_id")
-    return docs.select("doc_id", "text").join(kept, "doc_id", "left_semi").select("doc_id", F.length("text").alias("n"))
+    """Filters on the narrow columns reach the scan, which skips row groups before it reads the wide column."""
+    return table(s, d, "documents").where("source = 'benchchat' AND n_chars > 1000").select("doc_id", F.length("text").alias("n"))
 
 
 query("s9_pushed_filter", "SELECT drug_id, count(*) AS n FROM drug_assays WHERE drug_id IN (SELECT drug_id FROM predictions GROUP BY 1 HAVING count(*) > 100) GROUP BY 1")(
@@ -221,9 +220,7 @@ query("w8_leave_one_out_mean", f"WITH {P.DENSE}, g AS (SELECT unit, item, y_true
 
 
 def loo(s, d):
-    from panelwright.functions.ranks import leave_one_out_mean
-
-    return P.dense(s, d).select("unit", "item", F.round(leave_one_out_mean("y_true", "item"), 6).alias("loo")).where("loo IS NOT NULL")
+    return leave_one_out_mean(P.dense(s, d).select("unit", "item", "y_true"), ["item"], "y_true", "m").where("m IS NOT NULL").select("unit", "item", F.round("m", 6).alias("loo"))
 
 
 query("w1_partition_median", f"WITH {P.DENSE} SELECT unit, item, round(y_true - m, 6) AS off FROM dense JOIN (SELECT unit, quantile_cont(y_true, 0.5) AS m FROM dense GROUP BY 1) USING (unit)")(

@@ -31,12 +31,27 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a temporary folder is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and
+    all tasks run on this machine (tests) a temporary folder is taken, on a cluster that is refused.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelwright-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset on a single machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="panelwright-")
+
+
+def vocabulary(df: DataFrame, column: str, most: int = 2_000) -> list:
+    """The distinct non-null values of a column, in order; a column with more than ``most`` is refused, never cut."""
+    found = sorted(r[0] for r in df.select(column).where(f"`{column}` IS NOT NULL").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return found

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one; a temporary one only where none is named."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="panelwright-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder under the one all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def windowed_means(stream: DataFrame, ts: str, value: str, *keys: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -24,7 +24,7 @@ def windowed_means(stream: DataFrame, ts: str, value: str, *keys: str, width: st
 def run_to_table(updates: DataFrame, keys: list[str]) -> DataFrame:
     """Runs a stream of updates over all that is there and returns each key's last update; a rerun of a batch writes the same rows."""
     spark = updates.sparkSession
-    root = shared_folder(spark)
+    root = stream_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/part={number}")

@@ -238,16 +238,86 @@ def test_penalties_are_chosen_by_the_other_folds(spark):
         assert 0 < min(g["alpha"] for g in models.out_of_fold(df, ["item"], "x", "y", "fold", kind).collect())
 
 
-def test_kernel_width_is_searched(spark):
+def made_panel(spark, target, seed=7, units=80, items=6, k=5):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(units, k)) * np.arange(1, k + 1)
+    rows = [(f"u{i}", f"d{j}", float(target(r, x[i], j))) for i in range(units) for j in range(items)]
+    panel = spark.createDataFrame(rows, "unit string, item string, y_true double").cache()
+    return panel, spark.createDataFrame([(f"u{i}", x[i].tolist()) for i in range(units)], "unit string, vector array<double>").cache(), splits.hashed_folds(panel, 5).cache()
+
+
+@pytest.mark.parametrize("per_item", [True, False])
+def test_noise_is_not_predicted_out_of_fold(spark, per_item):
+    panel, v, folds = made_panel(spark, lambda r, x, j: r.normal(), units=400)
+    r = models.cross_validated(panel, folds, models.fold_components(v, folds, "vector", 5), per_item=per_item, alphas=(0.1,))
+    rho = one(metrics.within_item_rho(r.select("item", "y_true", r["y_resid"].alias("y_pred"))))
+    assert rho["n"] == 2400 and abs(rho["rho"]) < 0.05
+
+
+def test_slopes_are_found_out_of_fold(spark):
+    panel, v, folds = made_panel(spark, lambda r, x, j: j + (j - 2) * x[4] / 5 + 0.1 * r.normal())
+    spaces = models.fold_components(v, folds, "vector", 5)
+    rho = {k: one(metrics.interaction_rho(models.cross_validated(panel, folds, spaces, per_item=k)))["interaction_rho"] for k in (True, False)}
+    assert rho[True] > 0.9 and rho[False] < 0.3  # one slope for all items can't say an interaction
+
+
+def test_fold_components_know_nothing_of_the_fold(spark):
+    _, v, folds = made_panel(spark, lambda r, x, j: 0.0)
+    fold = dict(folds.collect())
+    far = v.withColumn("vector", F.when(F.col("unit").isin([u for u, f in fold.items() if f == 0]), F.transform("vector", lambda x: x * 1000 + 9)).otherwise(F.col("vector")))
+    a, b = ({r["unit"]: r["x"] for r in models.fold_components(t, folds, "vector", 3).where("f = 0").collect()} for t in (v, far))
+    assert all(np.allclose(a[u], b[u]) for u, f in fold.items() if f != 0)
+
+
+def test_kernel_width_is_chosen_in_the_training_folds(spark):
     from panelwright.plans import models as plans
 
-    r = np.random.default_rng(7)
-    x = r.normal(size=(80, 5))
-    data = [("wide", x[i].tolist(), float(x[i, 0]), i % 5) for i in range(80)] + [("narrow", x[i].tolist(), float(np.sin(3 * x[i, 0])), i % 5) for i in range(80)]
-    rows = plans.kernels(spark.createDataFrame(data, "item string, x array<double>, resid double, fold int")).cache()
-    got = {g["item"]: g["k"] for g in plans.kernel_fits(rows).collect()}
-    for item, k in got.items():
-        one = rows.where(rows["item"] == item)
-        errors = [models.fitted(one.withColumn("x", one["xs"][j]), [], "x", "resid", "fold", alphas=tuple(np.logspace(-2, 3, 6))).first()["error"] for j in range(6)]
-        assert int(np.argmin(errors)) == k
-    assert set(got) == {"wide", "narrow"}
+    panel, v, folds = made_panel(spark, lambda r, x, j: x[0] if j % 2 else np.sin(3 * x[0]), units=150)
+    spaces = models.fold_components(v, folds, "vector", 5, unit_spread=True)
+    rows = models.cross_validated(panel, folds, spaces, alphas=tuple(np.logspace(-2, 3, 6)), reshape=plans.kernels)
+    assert rows.count() == rows.select("unit", "item").distinct().count() == 150 * 6
+    rho = {r["item"]: r["rho"] for r in metrics.rho_by_item(rows).collect()}
+    assert min(rho[f"d{j}"] for j in (1, 3, 5)) > 0.5
+
+
+def test_planted_response_is_recovered_the_more_the_stronger(spark):
+    from panelwright.operators import scores
+
+    panel, v, folds = made_panel(spark, lambda r, x, j: j, units=200)
+    spaces = models.reduced(models.standardised(v, "vector"), "vector", 3).select("unit", "x")
+    made = scores.planted_response(panel, spaces, (0.0, 0.5, 3.0), 1.0, 3)
+    r = models.cross_validated(made, folds, models.fold_components(v, folds, "vector", 5), items=("effect", "item"))
+    rho = {x["effect"]: x["rho"] for x in metrics.within_item_rho(r.select("effect", "item", "y_true", r["y_resid"].alias("y_pred")), "effect").collect()}
+    assert rho[0.0] < 0.15 and rho[0.0] < rho[0.5] < rho[3.0] and rho[3.0] > 0.8
+
+
+def test_a_constant_prediction_is_no_interaction_at_any_scale(spark):
+    for scale in (1e-10, 1.0, 1e9):
+        rows = [(f"u{i}", f"d{j}", float((i * 7 + j * 5) % 11), scale * (0.1 + i / 3)) for i in range(12) for j in range(5)]
+        assert one(metrics.interaction_rho(spark.createDataFrame(rows, PANEL)))["interaction_rho"] == 0.0
+
+
+def test_a_hot_key_is_ranked_in_parts(spark):
+    from panelwright.functions.ranks import dealt, group_avg_rank, leave_one_out_mean
+
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else f"k{i % 7}", r.choice([float(i), 5.0, None])) for i in range(900)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = group_avg_rank(df, ["k"], {"v": "r"}, buckets=8)
+    for k, v, rank in [tuple(x) for x in got.select("k", "v", "r").distinct().collect()]:
+        held = [w for kk, w in rows if kk == k and w is not None]
+        assert rank == (None if v is None else sum(w < v for w in held) + (held.count(v) + 1) / 2)
+    assert got.count() == 900
+    d = dealt(df.where("k IS NOT NULL").withColumn("i", F.monotonically_increasing_id()), ["k"], F.md5(F.col("i").cast("string")), "n")
+    assert all(x["n"] == list(range(1, len(x["n"]) + 1)) for x in d.groupBy("k").agg(F.sort_array(F.collect_list("n")).alias("n")).collect())
+    m = leave_one_out_mean(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "k string, v double"), ["k"], "v", "m")
+    assert sorted((x["v"], x["m"]) for x in m.collect()) == [(1.0, 3.0), (3.0, 1.0), (5.0, None)]
+
+
+def test_vocabularies_are_refused_not_cut(spark):
+    from panelwright.session import vocabulary
+
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "x string")
+    assert vocabulary(df, "x", 3) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        vocabulary(df, "x", 2)

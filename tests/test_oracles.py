@@ -9,7 +9,6 @@ import verify_oracles as v
 from panelwright.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"a13_fidelity"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def con():
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracle(spark, con, name):
     df = catalog.queries()[name](spark, SF)
     cur = con.execute(catalog.oracle_sql()[name])
