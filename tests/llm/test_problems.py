@@ -227,7 +227,7 @@ def test_patient_groups_ignore_placeholders_and_strangers(spark):
 # ---------------------------------------------------------------- 4
 
 
-def test_knn_recall(spark):
+def test_knn_recall(spark, monkeypatch):
     r = np.random.default_rng(6)
     centre = r.normal(size=(30, 32))
     x = (centre[r.integers(0, 30, 600)] + 0.3 * r.normal(size=(600, 32))).astype(np.float32)
@@ -236,7 +236,6 @@ def test_knn_recall(spark):
     data = [(f"s{i:04d}", v.tolist(), "clash") for i, v in enumerate(x)]
     bad = [("n1", None, ""), ("n2", [0.0] * 32, ""), ("n3", [1.0] * 31, ""), ("n4", [float("nan")] * 32, ""), ("n5", [None] * 32, ""), (None, x[0].tolist(), "")]
     df = spark.createDataFrame(data + data[:20] + bad, "key string, v array<float>, other string")
-    got = {(a, b) for a, b in rows(p4_knn.most_similar(df, "key", "v", 32, nprobe=20), "key", "other")}
     u = p4_knn.unit(x)
     want = set()
     for i in range(len(x)):
@@ -245,7 +244,14 @@ def test_knn_recall(spark):
         for j in np.argsort(-s, kind="stable")[:5]:
             if s[j] >= 0.8:
                 want.add((f"s{i:04d}", f"s{j:04d}"))
+    exact = set(rows(p4_knn.most_similar(df, "key", "v", 32, nprobe=None), "key", "other"))
+    assert exact == want
+    got = set(rows(p4_knn.most_similar(df, "key", "v", 32, nprobe=8), "key", "other"))
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
+    monkeypatch.setattr(p4_knn, "BLOCK_ROWS", 7)  # long lists in blocks, and queries of a list in parts
+    monkeypatch.setattr(p4_knn, "BLOCK_ASKED", 5)
+    monkeypatch.setattr(p4_knn, "MAX_COARSE", 4)  # and lists divided by centroids of residuals
+    assert set(rows(p4_knn.most_similar(df, "key", "v", 32, nprobe=None), "key", "other")) == want
     assert p4_knn.most_similar(df.where("key IS NULL"), "key", "v", 32).count() == 0
 
 
