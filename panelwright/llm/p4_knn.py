@@ -154,7 +154,7 @@ def fit(reps: DataFrame, dim: int, n: int, seed: int) -> Index:
     return Index(coarse, fine, books)
 
 
-def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = 0.8, decimals: int = 6, nprobe: int | None = 24, seed: int = 7) -> DataFrame:
+def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = 0.8, decimals: int = 6, nprobe: int | None = 8, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other rows of every row, as (id, other, similarity, rank).
 
     Similarity is the cosine, rounded to ``decimals``; only similarities of ``least`` or more count; of equals
@@ -269,6 +269,7 @@ def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int = 5, le
     # stored rows go only to the blocks of queries that ask their list
     asks = asked.groupBy("list", "b").agg(F.count("*").alias("n")).select("list", "b", F.ceil(F.col("n") / BLOCK_ASKED).cast("int").alias("parts"))
     asks = checkpointed(asks)
+    asks = F.broadcast(asks)  # at most MAX_LISTS rows, and one for each BLOCK_ROWS of the table
     asked = asked.join(asks, ["list", "b"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
     given = stored.join(asks, ["list", "b"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     second_round = asked.groupBy("list", "b", "part").cogroup(given.groupBy("list", "b", "part")).applyInArrow(elsewhere, f"q long, similarity double, {kinds}")
