@@ -8,116 +8,117 @@ whether the last word is only the beginning of one.
 
 from __future__ import annotations
 
-import html
-import json
 import re
 from collections import Counter
 
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.session import checkpointed
 
-MEASURES = {
-    "chars": len,
-    "utf8": lambda s: len(s.encode("utf-8", "replace")),
-    "utf16": lambda s: len(s.encode("utf-16-le", "replace")) // 2,
-    "html": lambda s: len(html.escape(s)),
-    "html_utf8": lambda s: len(html.escape(s, False).encode("utf-8", "replace")),
-    "html_text": lambda s: len(html.escape(s, False)),
-    "json": lambda s: len(json.dumps(s)) - 2,
-    "json_utf8": lambda s: len(json.dumps(s, ensure_ascii=False).encode("utf-8", "replace")) - 2,
-    "words": lambda s: len(s.split()),
-    "crlf": lambda s: len(s) + s.count("\n"),
-    "crlf_utf8": lambda s: len(s.encode("utf-8", "replace")) + s.count("\n"),
-}
 BYTES = ("utf8", "html_utf8", "json_utf8", "crlf_utf8")  # a cut may fall before a character of several bytes
-DOTS = re.compile(r"(?:\.{2,}|…)\s*$")
+DOTS = r"(?:\.{2,}|…)\s*$"
 CLOSED = re.compile(r"""(?:[.!?:;)\]}>*~]|[.!?]["'»”’*_]+)\s*$""")
 # at a limit only these are an end: a sentence's mark with what may close after it, or the close of a signature
 ENDED = re.compile(r"""(?:[.!?]["'»”’)\]]*(?:\s|</?[a-zA-Z][^<>]*>|\[/[a-zA-Z]+\])*|\*{3}\s*|\[/size\]\s*)$""")
 SEPARATOR = re.compile(r"^\s*(?:-{2,}|_{3,}|\*{3,}|<hr\s*/?>|\[size|={3,}|~{3,})", re.M)
+NUMBER, DIGIT = re.compile(r"[0-9]+[.,][0-9]+"), re.compile("[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[._'’-][^\W_]+)*|[.!?…]+|\n\s*\n|\n")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|\[/?[a-zA-Z*]+(?:=[^\[\]]{0,200})?\]")
+TAIL = 400  # characters of a text that its ending is judged by
 MOST = 4  # words of an ending that are looked up
 KNOWN = 5  # times that a word is seen to be known; weight of an ending's shorter form beside the longer
 
 
+def measures(c: Column) -> dict[str, Column]:
+    """The length of a text under each encoding, escaping and newline conversion."""
+
+    def count(of: str) -> Column:
+        return F.length(c) - F.length(F.translate(c, of, ""))
+
+    def matching(pattern: str) -> Column:
+        return F.regexp_count(c, F.lit(pattern))
+
+    chars, octets = F.length(c), F.octet_length(c)
+    astral = matching(r"[\x{10000}-\x{10FFFF}]")
+    text = 4 * count("&") + 3 * count("<>")
+    json = count('"\\\n\r\t\b\f') + 5 * matching(r"[\x00-\x07\x0B\x0E-\x1F]")
+    return {
+        "chars": chars, "utf8": octets, "utf16": chars + astral, "html": chars + text + 5 * count("\"'"), "html_utf8": octets + text, "html_text": chars + text,
+        "json": chars + json + 5 * matching(r"[^\x00-\x7F]") + 6 * astral, "json_utf8": octets + json, "words": matching(r"(?U)\S+"), "crlf": chars + count("\n"), "crlf_utf8": octets + count("\n"),
+    }
+
+
 def tokens(text: str) -> list[str]:
     """Words in lower case, numbers as #, names with digits as @, sentence ends as '.', paragraph ends as '|'."""
     out: list[str] = []
-    for t in TOKEN.findall(TAG.sub(lambda m: "\n\n" if m[0][:2].lower() in ("<p", "<b", "<h") or m[0][:3].lower() == "</p" else " ", text)):
-        if t[0] in ".!?…":
-            mark = "."
+    for t in TOKEN.findall(TAG.sub(lambda m: "\n\n" if m[0][:2].lower() in ("<p", "<b", "<h") or m[0][:3].lower() == "</p" else " ", text).lower()):
+        if t.isalpha():
+            out.append(t)
+        elif t[0] in ".!?…":
+            if not out or out[-1] not in ".|":
+                out.append(".")
         elif "\n" in t:
-            mark = "|" if t.count("\n") > 1 else ""
+            if t.count("\n") > 1 and (not out or out[-1] not in ".|"):
+                out.append("|")
         else:
-            mark = "#" if t.isdigit() or re.fullmatch(r"[0-9]+[.,][0-9]+", t) else "@" if re.search("[0-9]", t) else t.lower()
-        if mark and not (mark in ".|" and out and out[-1] in ".|"):
-            out.append(mark)
+            out.append("#" if t.isdigit() or NUMBER.fullmatch(t) else "@" if DIGIT.search(t) else t)
     return out
 
 
-def ending(text: str) -> dict:
-    """How a text ends: dots put at the end, closed by a mark or a signature, and its last words."""
-    bare = text.rstrip()
-    dots = bool(DOTS.search(bare))
-    bare = DOTS.sub("", bare).rstrip() if dots else bare
-    closed = bool(CLOSED.search(bare)) if bare else True
-    lines = bare.split("\n")
-    signed = bool(SEPARATOR.search("\n".join(lines[-3:]))) if bare else False
-    words = [t for t in tokens(bare[-400:])]
+def ending(bare: str) -> dict:
+    """How a text ends (its last part, without what is blank at its end, or dots put there): closed by a mark or a signature, and its last words."""
+    signed = bool(SEPARATOR.search("\n".join(bare.split("\n")[-3:]))) if bare else False
     last: list[str] = []
-    for t in reversed(words):
+    for t in reversed(tokens(bare)):
         if t in ".|" or len(last) == MOST:
             break
         last.insert(0, t)
-    return {"dots": dots, "closed": closed, "signed": signed, "comma": bare.endswith(","), "ended": bool(ENDED.search(bare)), "last": last, "token": re.split(r"\s", bare)[-1] if bare else ""}
+    return {"closed": bool(CLOSED.search(bare)) if bare else True, "signed": signed, "comma": bare.endswith(","), "ended": bool(ENDED.search(bare)), "last": last, "token": re.split(r"\s", bare)[-1] if bare else ""}
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """Lengths and endings of (id, source, author, text)."""
+    """Lengths and endings of (id, source, author, text); only the last part of a text is handed to Python."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, s, a, t in zip(pdf["id"], pdf["source"], pdf["author"], pdf["text"], strict=True):
+            for a, t in zip(pdf["author"], pdf["tail"], strict=True):
                 e = ending(t)
-                core = DOTS.sub("", t) if e["dots"] else t
                 half = bool(isinstance(a, str) and 3 <= len(e["token"]) < len(a) and a.startswith(e["token"]) and re.search("[0-9._]", e["token"]))
-                rows.append((i, s, {m: f(core) for m, f in MEASURES.items()}, e["dots"], e["closed"], e["signed"], e["comma"], e["ended"], e["last"], half, xxhash.xxh64_intdigest(t[-200:]) >> 1))
-            yield pd.DataFrame(rows, columns=["id", "source", "lengths", "dots", "closed", "signed", "comma", "ended", "last", "half", "text_end"])
-
-    return docs.mapInPandas(run, f"id {kind}, source string, lengths map<string,int>, dots boolean, closed boolean, signed boolean, comma boolean, ended boolean, last array<string>, half boolean, text_end long")
+                rows.append((e["closed"], e["signed"], e["comma"], e["ended"], e["last"], half))
+            seen = pd.DataFrame(rows, columns=["closed", "signed", "comma", "ended", "last", "half"], index=pdf.index)
+            yield pd.concat([pdf[["id", "source", "lengths", "dots", "text_end"]], seen], axis=1)
+
+    bare = F.regexp_replace("text", r"(?U)\s+$", "")
+    d = docs.withColumn("dots", F.regexp_like(bare, F.lit(DOTS))).withColumn("core", F.when(F.col("dots"), F.regexp_replace("text", DOTS, "")).otherwise(F.col("text")))
+    d = d.select(
+        "id", "source", "author", "dots", F.expr(f"right(regexp_replace(core, '(?U)\\\\s+$', ''), {TAIL})").alias("tail"), F.array(*[v.cast("int") for v in measures(F.col("core")).values()]).alias("lengths"), F.xxhash64(F.expr("right(text, 200)")).alias("text_end"),
+    )
+    return d.mapInPandas(run, f"id {kind}, source string, lengths array<int>, dots boolean, text_end long, closed boolean, signed boolean, comma boolean, ended boolean, last array<string>, half boolean")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(gram, going, ending): how often up to MOST words were followed by more, and by the end of a sentence; the texts' own ends don't count."""
 
     def run(batches):
-        seen: Counter[tuple[str, bool]] = Counter()
+        seen: Counter[tuple] = Counter()
 
         def flush():
-            rows = [(g, n if not e else 0, n if e else 0) for (g, e), n in seen.items()]
+            rows = [(" ".join(k[:-1]), 0 if k[-1] else n, n if k[-1] else 0) for k, n in seen.items() if not any(t in ".|" for t in k[:-1])]
             seen.clear()
             return pd.DataFrame(rows, columns=["gram", "going", "ending"])
 
         for pdf in batches:
             for t in pdf["text"]:
                 w = tokens(t)
-                run_of: list[str] = []
-                for x, follows in zip(w, w[1:], strict=False):
-                    if x in ".|":
-                        run_of = []
-                        continue
-                    run_of = [*run_of[-(MOST - 1) :], x]
-                    for n in range(1, len(run_of) + 1):
-                        seen[" ".join(run_of[-n:]), follows in ".|"] += 1
-            if len(seen) > 300_000:
+                follows = [x in ".|" for x in w]
+                for n in range(1, MOST + 1):
+                    seen.update(zip(*[w[i:] for i in range(n)], follows[n:], strict=False))
+            if len(seen) > 400_000:
                 yield flush()
         yield flush()
 
@@ -131,60 +132,59 @@ def limits(ends: DataFrame, least: int = 4, of: int = 200, times: float = 6.0, o
     neighbours have on average, at least ``open_share`` of them without an end; of the measures that show it,
     those that show it best.  Texts that end alike, as copies do, count once.
     """
-    ends = ends.dropDuplicates(["source", "text_end"])
+    names = list(measures(F.lit("")))
+    by = F.map_from_arrays(F.array(*[F.lit(m) for m in names]), "lengths")
+    # of texts that end alike, the shortest; its lengths decide
+    ends = ends.groupBy("source", "text_end").agg(F.min_by(F.struct("closed", "signed", "lengths"), F.struct("lengths", "closed", "signed")).alias("e")).select("source", "e.*")
     sizes = ends.groupBy("source").agg((F.count("*") / of).alias("floor"))
-    lengths = ends.select("source", (F.col("closed") | F.col("signed")).alias("shut"), F.explode("lengths").alias("measure", "length")).where("length >= 100")
+    lengths = ends.select("source", (F.col("closed") | F.col("signed")).alias("shut"), F.explode(by).alias("measure", "length")).where("length >= 100")
     n = lengths.groupBy("source", "measure", "length").agg(F.count("*").alias("n"), F.sum(F.when(F.col("shut"), 0).otherwise(1)).alias("open"))
     near = W.partitionBy("source", "measure").orderBy("length").rangeBetween(-12, 12)
     n = n.withColumn("around", (F.sum("n").over(near) - F.col("n")) / 24)
-    n = n.join(F.broadcast(sizes), "source")  # a row for each source
+    n = n.join(sizes, "source")
     spikes = n.where((F.col("n") >= least) & (F.col("n") >= F.col("floor")) & (F.col("n") >= times * F.col("around")) & (F.col("open") >= open_share * F.col("n")))
     return spikes.withColumn("best", F.max("n").over(W.partitionBy("source"))).where("n * 2 >= best").select("source", "measure", "length", "n")
 
 
-def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", author: str = "author", share: float = 0.02, passages: DataFrame | None = None) -> DataFrame:
+def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", author: str = "author", share: float = 0.02) -> DataFrame:
     """(doc_id, source, reason) of the texts that were cut; ``reason`` is 'limit', 'word' or 'sentence'.
 
     'limit': the text has a length at which its source cuts, and doesn't end there; dots put at the cut don't
     hide it.  'word': the last word isn't one but begins one.  'sentence': after the same last words fewer than
-    ``share`` of the sentences end, the longer endings smoothed by the shorter, or it stops at a comma.  A text
-    that stops inside one of ``passages`` (text), which are strewn in as fragments, isn't judged by that.  A text that carelessly lacks its
+    ``share`` of the sentences end, the longer endings smoothed by the shorter, or it stops at a comma.  A text that carelessly lacks its
     last mark, is signed, or trails off in dots away from any limit isn't cut.  Null and empty texts and null ids
     aren't cases; a null source is a source of its own; each row is judged by its own text.
     """
     own = docs.where(F.col(doc_id).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(doc_id).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(author).alias("author"), F.col(text).alias("text"))
     ends = checkpointed(endings(own))
-    at = limits(ends)
+    at = checkpointed(limits(ends))
     open_ends = ends.where(~F.col("closed"))
     slack = F.when(F.col("measure").isin(*BYTES), 3).otherwise(0)
-    sized = ends.where(~F.col("ended")).select("id", "source", "signed", F.explode("lengths").alias("measure", "size"))
-    cut = sized.join(F.broadcast(at), ["source", "measure"]).where((F.col("size") <= F.col("length")) & (F.col("size") >= F.col("length") - slack)).select("id").distinct()
+    by = F.map_from_arrays(F.array(*[F.lit(m) for m in measures(F.lit(""))]), "lengths")
+    sized = ends.where(~F.col("ended")).join(at.select("source").distinct(), "source", "left_semi").select("id", "source", F.explode(by).alias("measure", "size"))
+    cut = sized.join(at, ["source", "measure"]).where((F.col("size") <= F.col("length")) & (F.col("size") >= F.col("length") - slack)).select("id").distinct()
     judged = open_ends.where(~F.col("dots") & (F.size("last") > 0))
     counts = checkpointed(word_counts(own))
-    if passages is not None:
-        strewn = word_counts(passages).select("gram", F.lit(True).alias("strewn"))
-    else:
-        strewn = counts.limit(0).select("gram", F.lit(True).alias("strewn"))
     word = F.element_at("last", -1)
     grams = F.transform(F.sequence(F.lit(1), F.size("last")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("last", F.size("last") - n + 1, n), " ").alias("gram")))
     suffix = judged.select("id", "signed", "half", "comma", word.alias("word"), F.explode(grams).alias("g")).select("id", "signed", "half", "comma", "word", "g.n", "g.gram")
     # how often whole texts end on the same two words: closings and mottos are ends, though no mark follows
     docs_n = ends.count()
     usual = suffix.where("n = 2").groupBy("gram").count().where(F.col("count") >= max(5, docs_n // 2000)).select("gram", F.lit(True).alias("usual"))
-    seen = suffix.join(counts, "gram", "left").join(usual, "gram", "left").join(strewn, "gram", "left").fillna(0, ["going", "ending"])
+    seen = suffix.join(counts, "gram", "left").join(usual, "gram", "left").fillna(0, ["going", "ending"])
     ended = F.aggregate(
         F.array_sort(F.collect_list(F.struct("n", "going", "ending"))), F.lit(0.1), lambda p, x: (x["ending"] + KNOWN * p) / (x["going"] + x["ending"] + KNOWN)
     )
     judge = seen.groupBy("id").agg(
         F.max("signed").alias("signed"), F.max("half").alias("half"), F.max("word").alias("word"), F.max(F.coalesce("usual", F.lit(False))).alias("usual"),
         F.max(F.when(F.col("n") == 1, F.col("going") + F.col("ending"))).alias("times"),
-        ended.alias("ended"), F.max("comma").alias("comma"), F.max(F.coalesce("strewn", F.lit(False)) & (F.col("n") >= 3)).alias("strewn"),
+        ended.alias("ended"), F.max("comma").alias("comma"),
     )
     vocabulary = counts.where((F.instr("gram", " ") == 0) & (F.col("going") + F.col("ending") >= KNOWN) & (F.length("gram") > 1)).select("gram")
     stems = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda k: F.substring("gram", F.lit(1), k))).alias("word")).distinct().withColumn("begins", F.lit(True))
     judge = judge.join(stems, "word", "left")
     half_word = (F.col("times") < 3) & F.coalesce("begins", F.lit(False))
-    unended = ((F.col("ended") < share) | F.col("comma")) & ~F.col("strewn")
+    unended = (F.col("ended") < share) | F.col("comma")
     why = F.when(F.col("half"), "word").when(F.col("signed") | F.col("usual"), None).when(half_word, "word").when(unended, "sentence")
     inside = judge.withColumn("reason", why).where("reason IS NOT NULL").select("id", "reason")
     all_of = cut.withColumn("reason", F.lit("limit")).unionByName(inside).groupBy("id").agg(F.min("reason").alias("reason"))

@@ -107,8 +107,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_cut(spark: SparkSession, d: str) -> DataFrame:
-    passages = table(spark, d, "eval_items").select(F.col("item_text").alias("text")).where("text IS NOT NULL")
-    return p9_truncation.truncated(table(spark, d, "documents"), passages=passages)
+    return p9_truncation.truncated(table(spark, d, "documents"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

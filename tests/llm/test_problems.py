@@ -129,6 +129,36 @@ def test_deletions_meet_within_two_slips():
         assert p1_linkage.left_out(a) & p1_linkage.left_out("".join(b))
 
 
+def test_long_names_meet_within_two_slips_by_few_keys():
+    r = random.Random(5)
+    for _ in range(400):
+        a = "".join(r.choice("abcdef") for _ in range(r.randint(20, 60)))
+        b = list(a)
+        for _ in range(2):
+            i, op = r.randrange(len(b) - 1), r.randrange(4)
+            if op == 0:
+                b[i] = r.choice("abcdef")
+            elif op == 1:
+                del b[i]
+            elif op == 2:
+                b.insert(i, r.choice("abcdef"))
+            else:
+                b[i], b[i + 1] = b[i + 1], b[i]
+        assert p1_linkage.name_forms(a, False) & p1_linkage.name_forms("".join(b), True)
+    assert len(p1_linkage.name_forms("x" * 1000, True)) <= 125
+
+
+def test_confidence_is_calibrated():
+    """Of pairs given a confidence near p, about the share p are true, for voters of different worth."""
+    r = np.random.default_rng(1)
+    y = r.random(20000) < 0.3
+    v = np.stack([np.where(r.random(20000) < 0.3, 0, np.where(r.random(20000) < a, y, ~y) * 2 - 1) for a in (0.9, 0.85, 0.8, 0.7, 0.75)], 1)
+    ways, at, n = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+    q = p1_linkage.LabelModel(ways, n).q[at.ravel()]
+    bins = np.minimum((q * 5).astype(int), 4)
+    assert sum((bins == b).mean() * abs(y[bins == b].mean() - q[bins == b].mean()) for b in range(5) if (bins == b).any()) < 0.05
+
+
 def test_label_model_learns_a_bad_voter():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.5
@@ -383,21 +413,27 @@ def test_wu_manber_finds_every_window():
     items = [(i, " ".join(r.choice("abcdefg") for _ in range(20))) for i in range(5)]
     table = p8_leaks.WuManber(items, 6)
     text = table.numbers(" ".join(r.choice("abcdefgh") for _ in range(300)) + " " + items[2][1] + " z " + items[4][1][:25])
-    want = {(i, k, s) for i, w in table.items.items() for k in range(len(w) - 5) for s in range(len(text) - 5) if text[s : s + 6] == w[k : k + 6]}
+    held = {i: table.words[table.starts[i] : table.starts[i + 1]].tolist() for i in range(5)}
+    want = {(i, k, s) for i, w in held.items() for k in range(len(w) - 5) for s in range(len(text) - 5) if text[s : s + 6] == w[k : k + 6]}
     assert set(table.search(text)) == want and want
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     item = "judging by two blinded scores half of the monoclonal pool keeps most of its migration speed while the scaffold remains glycolytic"
     w = item.split()
     one = [*w[2:8], "swapped", *w[9:14]]
     docs = [
         (1, "Quoted:\n> Judging by <b>two</b> blinded scores,\n> half of the m0noclonal pool&nbsp;keeps most of its migration\n> speed"), (2, " ".join(w[2:13])), (3, "x " + " ".join(one) + " y"),
-        (4, " ".join([*w[:5], "a", *w[6:10], "b", *w[11:15]])), (5, None), (6, ""), (None, item), (7, "z " * 20000 + item.upper()),
+        (4, " ".join([*w[:5], "a", *w[6:10], "b", *w[11:15]])), (5, None), (6, ""), (None, item), (7, "z " * 20000 + item.upper()), (8, " ".join([*w[:6], *w[7:13]])), (9, " ".join([*w[:6], "more", *w[6:11]])),
     ]
     d = spark.createDataFrame(docs + docs[:2], "doc_id long, text string").withColumn("item", F.lit("clash"))
     items = spark.createDataFrame([(1, item), (1, item), (2, "too short"), (3, None), (None, item)], "item_id long, item_text string")
     assert rows(p8_leaks.leaks(d, items, "doc_id", "text", "item_id", "item_text"), "doc_id", "item_id") == [(1, 1), (3, 1), (7, 1)]
+    other = items.union(spark.createDataFrame([(9, " ".join(reversed(w)))], "item_id long, item_text string"))
+    monkeypatch.setattr(p8_leaks, "SHARD_WORDS", 5)  # a shard for nearly every item
+    for size in (1 << 20, 1):  # in one pass, and in one for each shard
+        monkeypatch.setattr(p8_leaks, "PASS_BYTES", size)
+        assert rows(p8_leaks.leaks(d, other, "doc_id", "text", "item_id", "item_text"), "doc_id", "item_id") == [(1, 1), (3, 1), (7, 1)]
     assert p8_leaks.leaks(d, items.limit(0), "doc_id", "text", "item_id", "item_text").count() == 0
     assert p8_leaks.leaks(d.limit(0), items, "doc_id", "text", "item_id", "item_text").count() == 0
 
