@@ -1,7 +1,8 @@
 """Problem 1: the same things in sources without a common key, by a label model over heuristic votes.
 
 Pairs become candidates by sharing an identifier, a code, or a name up to two slips (two names within two
-slips share a form with at most two letters left out, so none is missed and no common word is a key).
+slips share a form with at most two letters left out, or, if they are long, one of five pieces, so none is missed and
+no common word is a key).
 Matching functions vote on every candidate: 1 for, -1 against, 0 for no opinion.  A generative model
 learns from the votes alone how often each function errs and which functions err together (a forest of
 dependences between functions within each class), and gives every pair its posterior confidence.
@@ -22,6 +23,7 @@ from panelwright.llm import names
 from panelwright.session import checkpointed
 
 VOTES = ("cid", "key", "bank", "code", "alias", "name")
+LONG = 24  # letters of a name beyond which it is looked up by pieces
 SAID = "value string, kind string, name string, spoken string, codes array<string>"
 
 
@@ -44,6 +46,23 @@ def left_out(name: str, most: int = 2) -> set[str]:
     return {name} | {"".join(c for i, c in enumerate(name) if i not in gone) for k in range(1, most + 1) for gone in combinations(range(len(name)), k)}
 
 
+def name_forms(name: str, asks: bool) -> set[str]:
+    """Keys of a name, such that an asking and a given one within two slips share one; their number grows with the name's length at most.
+
+    Up to LONG letters they are the forms with letters left out.  Of a longer name, five pieces: two slips, even where
+    two letters changed places across a border, touch four of them.  The asking side tries every length within two
+    slips, and every place that a piece may have moved to.
+    """
+    n = len(name)
+    out = left_out(name) if n <= LONG + (2 if asks else 0) else set()
+    for length in range(n - 2, n + 3) if asks else (n,):
+        if length > LONG:
+            for j in range(5):
+                lo, hi = j * length // 5, (j + 1) * length // 5
+                out |= {f"{length} {j} {name[lo + off : hi + off]}" for off in (range(-2, 3) if asks else (0,)) if 0 <= lo + off and hi + off <= n}
+    return out
+
+
 def identifiers(cid: str, inchikey: str, bank: str) -> list[Column]:
     """One form for each identifier, null where it says nothing: (cid, key, bank)."""
     key = F.regexp_replace(F.upper(F.regexp_replace(inchikey, r"[\s ]+", "")), "^INCHIKEY=", "")
@@ -113,20 +132,25 @@ def with_alias(profiles: DataFrame, alias: DataFrame) -> DataFrame:
     return profiles.join(extra, "id", "left").withColumn("codes", F.coalesce("codes", none)).withColumn("known", F.array_union("codes", F.coalesce("others", none))).drop("others")
 
 
-def name_keys(profiles: DataFrame) -> DataFrame:
+def name_keys(profiles: DataFrame, asks: bool) -> DataFrame:
     def forms(batches):
         for pdf in batches:
-            rows = [(i, k) for i, s in zip(pdf["id"], pdf["spoken"], strict=True) for k in left_out(s)]
-            yield pd.DataFrame(rows, columns=["id", "k"])
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                rows = [(s, k) for s in part["spoken"] for k in name_forms(s, asks)]
+                yield pd.DataFrame(rows, columns=["spoken", "k"])
 
-    kind = profiles.schema["id"].dataType.simpleString()
-    return profiles.where("spoken IS NOT NULL").select("id", "spoken").mapInPandas(forms, f"id {kind}, k string").select("id", F.xxhash64("k").alias("k"))
+    # a name's forms are made once, whoever bears it, and the names spread over all tasks
+    tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heard = profiles.where("spoken IS NOT NULL").select("spoken").distinct().repartition(tasks, F.xxhash64("spoken"))
+    made = heard.mapInPandas(forms, "spoken string, k string").select("spoken", F.xxhash64("k").alias("k"))
+    return profiles.where("spoken IS NOT NULL").select("id", "spoken").join(made, "spoken").select("id", "k")
 
 
-def keys(profiles: DataFrame) -> DataFrame:
+def keys(profiles: DataFrame, asks: bool) -> DataFrame:
     plain = [profiles.where(F.col(c).isNotNull()).select("id", F.xxhash64(F.lit(c), c).alias("k")) for c in ("cid", "key", "bank")]
     codes = profiles.select("id", F.explode("known").alias("c")).select("id", F.xxhash64(F.lit("code"), "c").alias("k"))
-    out = name_keys(profiles).unionByName(codes)
+    out = name_keys(profiles, asks).unionByName(codes)
     for p in plain:
         out = out.unionByName(p)
     return out
@@ -150,7 +174,7 @@ def name_votes(batches):
 
 def votes(left: DataFrame, right: DataFrame) -> DataFrame:
     """The candidates (l, r) and the vote of every function."""
-    pairs = keys(left).withColumnRenamed("id", "l").join(keys(right).withColumnRenamed("id", "r"), "k").select("l", "r").distinct()
+    pairs = keys(left, False).withColumnRenamed("id", "l").join(keys(right, True).withColumnRenamed("id", "r"), "k").select("l", "r").distinct()
     both = pairs.join(left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]), F.col("l") == F.col("l_id")).join(right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]), F.col("r") == F.col("r_id"))
 
     def same(c: str) -> Column:
