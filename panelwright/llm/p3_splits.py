@@ -23,6 +23,7 @@ from panelwright.session import checkpointed
 
 GIANT_SHARE = 0.001  # a component above this share of all rows is placed on its own: at most 1000 of them
 BLOCK_GROUPS = 20_000  # components in a block, about
+MAX_SPLITS = 1_000  # a plan with more is refused
 MAX_LABELS = 5_000  # labels come from a vocabulary; a table with more is refused
 
 
@@ -83,7 +84,9 @@ def grouped_stratified_split(records: DataFrame, plan: DataFrame) -> DataFrame:
     to 1; null or non-positive shares don't count.  No record or no share gives no row.
     """
     spark = records.sparkSession
-    shares = [(r[0], float(r[1])) for r in plan.where("split_label IS NOT NULL AND target_share > 0").select("split_label", "target_share").distinct().orderBy(F.desc("target_share"), "split_label").limit(1000).collect()]
+    shares = [(r[0], float(r[1])) for r in plan.where("split_label IS NOT NULL AND target_share > 0").select("split_label", "target_share").distinct().orderBy(F.desc("target_share"), "split_label").limit(MAX_SPLITS + 1).collect()]
+    if len(shares) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
     own = records.where("record IS NOT NULL").select("record", F.coalesce(F.col("group").cast("string"), F.concat(F.lit("record "), F.col("record").cast("string"))).alias("group"), "label")
     own = checkpointed(own.dropDuplicates(["record"]))
     schema = T.StructType([*own.schema.fields, T.StructField("split", T.StringType())])
