@@ -15,6 +15,15 @@ def leave_key_out(df: DataFrame, key: str, unit: str = "unit", missing: str | No
     return df.select(F.col(unit).alias("unit"), fold.alias("fold")).where("fold IS NOT NULL").distinct()
 
 
+def leave_classes_out(df: DataFrame, key: str, classes: list, unit: str = "unit") -> DataFrame:
+    """(unit, fold) of the named classes alone, each a fold; a class that no row has is a KeyError."""
+    folds = leave_key_out(df, key, unit).where(F.col("fold").isin(classes))
+    found = {r[0] for r in folds.select("fold").distinct().collect()}  # at most the named ones
+    if gone := [c for c in classes if c not in found]:
+        raise KeyError(f"no unit has {key} {gone}")
+    return folds
+
+
 def hashed_folds(df: DataFrame, k: int, unit: str = "unit") -> DataFrame:
     """The fold by a hash of the unit: no sort and no shared state, the same in every run."""
     return df.select(F.col(unit).alias("unit")).distinct().withColumn("fold", F.conv(F.substring(F.md5(F.col("unit").cast("string")), 1, 6), 16, 10).cast("int") % k)

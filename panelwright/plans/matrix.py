@@ -40,20 +40,31 @@ def tokens(s, d):
 
 query("n8_reindexed", f"""WITH {P.EXPR} SELECT sample, [coalesce(sum(value) FILTER (WHERE feature = 'Brand#11'), 0), coalesce(sum(value) FILTER (WHERE feature = 'none'), 0), coalesce(sum(value) FILTER (WHERE feature = 'Brand#12'), 0)] AS vector
 FROM expr WHERE feature IN ('Brand#11', 'Brand#12', 'none') GROUP BY 1""")(lambda s, d: X.reindexed(P.expr(s, d), ["Brand#11", "none", "Brand#12"]))
-query("n9_unit_norm", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 6) AS first FROM embeddings")(
-    lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(X.unit_norm(F.col("embedding"))[0], 6).alias("first"))
-)
-query("n10_bilinear", """SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[1:3]]) + list_sum([CAST(x AS DOUBLE) FOR x IN embedding[4:5]])
-+ list_sum([CAST(x AS DOUBLE) FOR x IN embedding[1:3]]) * list_sum([CAST(x AS DOUBLE) FOR x IN embedding[4:5]]), 5) AS total, 11 AS n FROM embeddings""")(lambda s, d: bilinear(s, d))
+query("n9_unit_norm", """WITH s AS (SELECT vec_id, embedding, sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])) AS size FROM embeddings)
+SELECT vec_id, unnest(range(len(embedding))) AS position, round(unnest([CAST(x AS DOUBLE) FOR x IN embedding]) / size, 6) AS value FROM s""")(
+    lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(X.unit_norm(F.col("embedding"))).alias("position", "value")).withColumn("value", F.round("value", 6)).withColumn("position", F.col("position").cast("long"))
+)
+query("n10_bilinear", """WITH e AS (SELECT vec_id, unnest(range(64)) AS p, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings), z AS (SELECT vec_id, p AS i, v FROM e WHERE p < 32), g AS (SELECT vec_id, p - 32 AS j, v FROM e WHERE p >= 32),
+o AS (SELECT vec_id, i AS k, v FROM z UNION ALL SELECT vec_id, 32 + j, v FROM g UNION ALL SELECT vec_id, 64 + i * 32 + j, z.v * g.v FROM z JOIN g USING (vec_id))
+SELECT vec_id, count(*) AS n, round(sum(v), 5) AS total, round(sum(v * v), 5) AS squares, round(sum(k * v), 3) AS placed FROM o GROUP BY 1""")(lambda s, d: bilinear(s, d))
 
 
 def bilinear(s, d):
+    """One half of every vector against the other: how many values, their sum, that of their squares, and the sum by place, which tells their order."""
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    f = X.bilinear(F.slice("e", 1, 3), F.slice("e", 4, 2))
-    return e.select("vec_id", F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size(f).alias("n"))
+    f = e.select("vec_id", X.bilinear(F.slice("e", 1, 32), F.slice("e", 33, 32)).alias("f"))
+
+    def added(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
+    placed = added(F.transform("f", lambda x, i: x * i))
+    return f.select("vec_id", F.size("f").cast("long").alias("n"), F.round(added("f"), 5).alias("total"), F.round(added(F.transform("f", lambda x: x * x)), 5).alias("squares"), F.round(placed, 3).alias("placed"))
 
-query("n11_random_projection")(lambda s, d: X.projected(table(s, d, "embeddings"), "vec_id", "embedding", 64, 8, 5))
+
+query("n11_random_projection", f"""WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest([CAST(x AS DOUBLE) FOR x IN embedding]) AS v FROM embeddings),
+w AS (SELECT o, i, {P.normal_sql(5, "o", "i")} / sqrt(8.0) AS w FROM range(8) a(o), range(64) b(i)) SELECT vec_id, o AS position, round(sum(v * w), 5) AS value FROM e JOIN w USING (i) GROUP BY 1, 2""")(
+    lambda s, d: X.projected(table(s, d, "embeddings"), "vec_id", "embedding", 64, 8, 5).select("vec_id", F.posexplode("projection").alias("position", "value")).select("vec_id", F.col("position").cast("long").alias("position"), F.round("value", 5).alias("value"))
+)
 query("a6_top_variance", f"WITH {P.EXPR} SELECT feature, round(var_samp(value), 4) AS variance FROM expr GROUP BY 1 ORDER BY var_samp(value) DESC, feature LIMIT 10")(
     lambda s, d: X.top_variance(P.expr(s, d), 10).select("feature", F.round("variance", 4).alias("variance"))
 )

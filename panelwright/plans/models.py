@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from panelwright.operators import matrix as X
 from panelwright.operators import metrics as M
 from panelwright.operators import models as L
+from panelwright.operators import signatures as V
 from panelwright.operators import splits as S
+from panelwright.operators.contracts import Registry
 from panelwright.plans import panels as P
 from panelwright.plans.registry import query
 from panelwright.session import checkpointed, table, vocabulary
@@ -44,11 +46,12 @@ def features(s, d, k=5):
     return L.reduced(L.standardised(profiles(s, d), "vector"), "vector", k).select("unit", "x")
 
 
-def held_out(s, d, k=5, panel=None, unit_spread=False, **how):
-    """Every row of the dense panel predicted by the other folds: scaler, components, item means and slopes come from them alone."""
-    p = P.dense(s, d) if panel is None else panel
+def held_out(s, d, k=5, unit_spread=False):
+    """Cross-validation of the dense panel as a function: every row by the other folds, from which scaler, components, item means and slopes come alone."""
+    p = checkpointed(P.dense(s, d))
     folds = checkpointed(S.hashed_folds(p, 5))
-    return L.cross_validated(p, folds, L.fold_components(profiles(s, d), folds, "vector", k, unit_spread), **how)
+    spaces = checkpointed(L.fold_components(profiles(s, d), folds, "vector", k, unit_spread))
+    return lambda **how: L.cross_validated(p, folds, spaces, **how)
 
 
 def shown(r):
@@ -58,10 +61,10 @@ def shown(r):
 @query("mod_p2_shared_ridge")
 def p2(s, d):
     """One slope for all items on the residual of the item's mean, penalty by folds left out inside the training folds."""
-    return shown(held_out(s, d, per_item=False))
+    return shown(held_out(s, d)(per_item=False))
 
 
-query("mod_p3_ridge_by_item")(lambda s, d: shown(held_out(s, d)))
+query("mod_p3_ridge_by_item")(lambda s, d: shown(held_out(s, d)()))
 
 
 GAMMAS = tuple(float(g) for g in np.logspace(-2, 0.5, 6))  # fixed values: the widths tried
@@ -76,7 +79,7 @@ def kernels(r):
 @query("mod_p4_kernel_by_item")
 def p4(s, d):
     """Kernel ridge through random Fourier features, so that it too needs only summed products; width and penalty chosen in the training folds."""
-    return shown(held_out(s, d, unit_spread=True, alphas=tuple(np.logspace(-2, 3, 6)), reshape=kernels))
+    return shown(held_out(s, d, unit_spread=True)(alphas=tuple(np.logspace(-2, 3, 6)), reshape=kernels))
 
 
 def item_features(s, d):
@@ -94,15 +97,15 @@ def p5(s, d):
         held = r.join(g, "item", "left").withColumn("_g", F.coalesce("_g", F.array(F.lit(0.0), F.lit(0.0))))
         return held.withColumn("x", X.bilinear(F.col("x"), F.col("_g"))).drop("_g")
 
-    return shown(held_out(s, d, 3, per_item=False, reshape=products))
+    return shown(held_out(s, d, 3)(per_item=False, reshape=products))
 
 
 @query("mod_p8_penalised_grid")
 def p8(s, d):
     """Per item and fold, ridge, lasso and elastic net of the other folds, the penalty from the kind's grid chosen there; y_prior is the other folds' mean."""
-    out = None
+    out, validated = None, held_out(s, d)
     for kind in ("ridge", "lasso", "elastic_net"):
-        one = held_out(s, d, kind=kind, alphas=None, min_n=5, least=8).select(F.lit(kind).alias("penalty"), "unit", "item", "fold", "y_true", F.round("y_pred", 9).alias("y_pred"), F.round("y_prior", 9).alias("y_prior"))
+        one = validated(kind=kind, alphas=None, min_n=5, least=8).select(F.lit(kind).alias("penalty"), "unit", "item", "fold", "y_true", F.round("y_pred", 9).alias("y_pred"), F.round("y_prior", 9).alias("y_prior"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -120,6 +123,35 @@ SELECT DISTINCT 'ridge' AS penalty, unit, item, round((t.s - f.s) / (t.n - f.n),
     prior
 )
 
+HEADS = Registry("parts")
+HEADS.register("item_mean")(lambda validated: validated(min_n=1 << 30))  # no item has so many rows, so none has a slope
+HEADS.register("shared_ridge")(lambda validated: validated(per_item=False))
+HEADS.register("ridge_by_item")(lambda validated: validated())
+HEADS.register("lasso_by_item")(lambda validated: validated(kind="lasso", alphas=None, min_n=5, least=8))
+
+
+@query("mod_p7_heads")
+def heads(s, d):
+    """Every registered head by name, all out of fold: how its residuals rank the units within items, and the interaction of its predictions."""
+    out, validated = None, held_out(s, d)
+    for name in HEADS:  # a handful
+        r = checkpointed(HEADS.run(name, validated))
+        one = M.within_item_rho(r.select("item", "y_true", F.col("y_resid").alias("y_pred"))).crossJoin(F.broadcast(M.interaction_rho(r).select("interaction_rho")))
+        one = one.select(F.lit(name).alias("head"), "rho", "interaction_rho", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("v5_readouts")
+def v5(s, d):
+    """Registered readouts of one half of the suppliers by the other: the mean of the signatures, and a ridge on the mean discount."""
+    from panelwright.plans.deltas import sets
+
+    e = P.expr(s, d)
+    y = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.avg("l_discount").alias("y"))
+    return V.readouts(None, e.where("sample % 2 = 0").join(y, "sample"), e.where("sample % 2 = 1"), sets(s, d)).select("readout", "sample", F.round("score", 6).alias("score"))
+
+
 # on one feature a ridge has a closed form, so SQL can say the whole cross-validation
 ONE = f"""{P.DENSE}, u AS (SELECT l_suppkey AS unit, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1), p AS (SELECT dense.*, {FOLD} AS g FROM dense), un AS (SELECT unit, v, {FOLD} AS g FROM u WHERE unit IN (SELECT unit FROM p)),
 s AS (SELECT f, avg(v) FILTER (WHERE g <> f) AS mv, stddev_pop(v) FILTER (WHERE g <> f) AS sv FROM un, (SELECT DISTINCT g AS f FROM un) GROUP BY 1),
@@ -148,7 +180,7 @@ query("mod_p3_ridge_on_price_by_item", f"WITH {ONE.format(group='f, item')} {SHO
 @query("x8_cross_validated_ridge")
 def cv_ridge(s, d):
     """How well the residuals of the ridge by item, all out of fold, rank the units within items, and the interaction of the whole predictions."""
-    r = checkpointed(held_out(s, d))
+    r = checkpointed(held_out(s, d)())
     return M.within_item_rho(r.select("item", "y_true", F.col("y_resid").alias("y_pred"))).crossJoin(F.broadcast(M.interaction_rho(r).select("interaction_rho")))
 
 

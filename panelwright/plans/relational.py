@@ -10,6 +10,7 @@ from panelwright.operators import relational as R
 from panelwright.plans import panels as P
 from panelwright.plans.registry import query
 from panelwright.session import table, vocabulary
+from panelwright.sources import readers
 
 PID = r"regexp_replace(regexp_replace(upper(regexp_replace({}, '\s+', '', 'g')), '_(TUMOR|ORGANOIDS?)$', ''), '^([A-Z]+)[-_]+([0-9])', '\1\2')"
 
@@ -77,6 +78,34 @@ def preferred(s, d):
     return R.keep_first(c, ["sample_id"], [order, "response_metric"]).select("sample_id", "response_metric", F.round("y", 6).alias("y"))
 
 
+PREFERENCE = ["auc", "aac", "ic50", "dss", "viability"]
+query("r7_shared_metric", """WITH h AS (SELECT DISTINCT left(drug_id, 3) AS lab, response_metric FROM drug_assays WHERE drug_id IS NOT NULL AND CAST(response_value AS VARCHAR) <> 'nan'),
+p AS (SELECT a.lab AS lab_a, b.lab AS lab_b, a.response_metric AS metric, list_position(['auc', 'aac', 'ic50', 'dss', 'viability'], a.response_metric) AS k FROM h a JOIN h b ON a.response_metric = b.response_metric AND a.lab < b.lab)
+SELECT lab_a, lab_b, arg_min(metric, k) AS metric FROM p WHERE k > 0 GROUP BY 1, 2""")(lambda s, d: shared_metric(s, d))
+
+
+def shared_metric(s, d):
+    """For each two laboratories, the first metric in the order of preference that both have measured."""
+    h = table(s, d, "drug_assays").where("drug_id IS NOT NULL AND NOT isnan(response_value)").select(F.substring("drug_id", 1, 3).alias("lab"), F.col("response_metric").alias("metric")).distinct()
+    p = h.withColumnRenamed("lab", "lab_a").join(h.withColumnRenamed("lab", "lab_b"), "metric").where("lab_a < lab_b")
+    k = F.array_position(F.array(*map(F.lit, PREFERENCE)), F.col("metric"))
+    return p.where(k > 0).groupBy("lab_a", "lab_b").agg(F.min_by("metric", k).alias("metric"))
+
+
+@query("s17_cohorts", """WITH c AS (SELECT unnest(['alden', 'brevikpdo', 'Corrin', 'dunmore']) AS asked, unnest(['aldenscreen', 'brevikpdo', 'corrincell', 'dunmorelab']) AS name)
+SELECT asked, (SELECT count(*) FROM patients WHERE tranche_id LIKE 'cohort_' || name || '_%') AS patients, (SELECT count(*) FROM samples WHERE tranche_id LIKE 'cohort_' || name || '_%') AS samples,
+  (SELECT count(*) FROM drug_assays WHERE sample_id IN (SELECT sample_id FROM samples WHERE tranche_id LIKE 'cohort_' || name || '_%')) AS assays FROM c""")
+def cohorts(s, d):
+    """Tables of the registered collections, asked by name or alias."""
+    out = None
+    for asked in ("alden", "brevikpdo", "Corrin", "dunmore"):
+        t = readers.load("cohort", s, d, asked)
+        sizes = [t[n].agg(F.count(F.lit(1)).alias(c)) for n, c in (("patients", "patients"), ("samples", "samples"), ("drug_assays", "assays"))]
+        one = sizes[0].crossJoin(F.broadcast(sizes[1])).crossJoin(F.broadcast(sizes[2])).select(F.lit(asked).alias("asked"), "patients", "samples", "assays")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 query("r8_semi", "SELECT DISTINCT sample_id FROM samples WHERE sample_id IN (SELECT sample_id FROM baseline_expression)")(
     lambda s, d: table(s, d, "samples").join(table(s, d, "baseline_expression"), "sample_id", "left_semi").select("sample_id").distinct()
 )
@@ -99,9 +128,16 @@ query("r15_keep_first_nulls_last", """SELECT source_drug_id, xref_id, inchikey F
 query("r15_conflicts", """SELECT pubchem_cid, list_sort(list(DISTINCT source)) AS "values" FROM drug_xref WHERE pubchem_cid > 0 GROUP BY 1 HAVING count(DISTINCT source) > 1""")(
     lambda s, d: R.conflicts(table(s, d, "drug_xref").where("pubchem_cid > 0"), "pubchem_cid", "source")
 )
-query("r16_pivot", f"WITH {P.EXPR}, t AS (SELECT sample, coalesce(sum(value) FILTER (WHERE feature = 'Brand#11'), 0) AS b11, coalesce(sum(value) FILTER (WHERE feature = 'Brand#12'), 0) AS b12 FROM expr GROUP BY 1) SELECT * FROM t")(
-    lambda s, d: P.expr(s, d).groupBy("sample").pivot("feature", ["Brand#11", "Brand#12"]).sum("value").fillna(0).withColumnsRenamed({"Brand#11": "b11", "Brand#12": "b12"})
-)
+BRANDS = {f"Brand#{i}": f"b{i}" for i in range(1, 26)}
+query("r16_pivot", "SELECT l_suppkey AS sample, " + ", ".join(f"coalesce(round(avg(l_quantity) FILTER (WHERE p_brand = '{b}'), 6), 0) AS {n}" for b, n in BRANDS.items()) + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")(lambda s, d: pivoted(s, d))
+
+
+def pivoted(s, d):
+    """A column for each brand, the mean quantity, 0 where a supplier has none of it."""
+    wide = P.with_parts(s, d, "l_quantity").groupBy(F.col("l_suppkey").alias("sample")).pivot("p_brand", list(BRANDS)).avg("l_quantity").fillna(0)
+    return wide.select("sample", *[F.round(F.col(f"`{b}`"), 6).alias(n) for b, n in BRANDS.items()])
+
+
 query("r17_overlap_report", """SELECT pubchem_cid, string_agg(DISTINCT input_name, ', ' ORDER BY input_name) FILTER (WHERE source = 'chemdesk') AS chemdesk, string_agg(DISTINCT input_name, ', ' ORDER BY input_name) FILTER (WHERE source = 'lumenbase') AS lumenbase,
 string_agg(DISTINCT input_name, ', ' ORDER BY input_name) FILTER (WHERE source = 'pharmindex') AS pharmindex FROM drug_xref WHERE pubchem_cid > 0 GROUP BY 1""")(
     lambda s, d: R.overlap_report(table(s, d, "drug_xref").where("pubchem_cid > 0"), "pubchem_cid", "source", "input_name", ["chemdesk", "lumenbase", "pharmindex"])

@@ -115,18 +115,10 @@ query("c4_random_sets", """WITH f AS (SELECT DISTINCT p_brand AS feature FROM pa
 query("c5_shuffled_hit_rate", f"""WITH {P.DENSE}, {PERM.format(n=5)}, t AS (SELECT b, unit, arg_min(item, (y_true, item)) AS best, arg_min(item, (y_pred, item)) AS got FROM mixed GROUP BY 1, 2)
 SELECT b, round(avg(CAST(best = got AS DOUBLE)), 6) AS hit_rate FROM t GROUP BY 1""")(lambda s, d: C.shuffled_hit_rate(P.dense(s, d), 5, 7))
 
-def uniform_sql(seed, *cols):
-    return f"((CAST('0x' || left(md5('{seed}:' || {" || ':' || ".join(cols)}), 12) AS BIGINT) + 0.5) / {1 << 48}.0)"
-
-
-def normal_sql(seed, *cols):
-    return f"(sqrt(-2 * ln({uniform_sql(seed, *cols)})) * cos(2 * pi() * {uniform_sql(seed + 1, *cols)}))"
-
-
 def planted_sql(effect, noise, seed):
     """Round to the grid on which ranks are taken, as logarithms and cosines differ in the last place."""
-    return f"""gi0 AS (SELECT item, avg(y_true) AS base, {normal_sql(seed, "item")} AS g FROM dense GROUP BY item), gi1 AS (SELECT item, base, g - (SELECT avg(g) FROM gi0) AS g FROM gi0),
-pl AS (SELECT unit, item, base + {effect} * {normal_sql(seed + 10, "unit")} * g + {noise} * {normal_sql(seed + 20, "unit", "item")} AS y_true, base + {effect} * {normal_sql(seed + 10, "unit")} * g AS y_pred FROM dense JOIN gi1 USING (item))"""
+    return f"""gi0 AS (SELECT item, avg(y_true) AS base, {P.normal_sql(seed, "item")} AS g FROM dense GROUP BY item), gi1 AS (SELECT item, base, g - (SELECT avg(g) FROM gi0) AS g FROM gi0),
+pl AS (SELECT unit, item, base + {effect} * {P.normal_sql(seed + 10, "unit")} * g + {noise} * {P.normal_sql(seed + 20, "unit", "item")} AS y_true, base + {effect} * {P.normal_sql(seed + 10, "unit")} * g AS y_pred FROM dense JOIN gi1 USING (item))"""
 
 
 query("c3_planted_within_item", f"WITH {P.DENSE}, {planted_sql('1.0', '0.5', 3)}, {P.ranks_sql('pl', 'item')} SELECT {P.RHO} AS rho, count(*) AS n FROM r")(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import metrics as M
 from panelwright.operators.controls import uniform
+from panelwright.operators.scores import grouped_rho
 from panelwright.plans import panels as P
 from panelwright.plans.registry import query
 from panelwright.session import table
@@ -55,6 +56,16 @@ def p13(s, d):
     return M.regret_by_unit(p, 1, "b").groupBy("b").agg(F.round(F.avg("regret"), 6).alias("regret"))
 
 
+@query("a31_rule_correlations", f"""WITH {P.DENSE}, f AS (SELECT s_suppkey AS unit, s_acctbal AS x FROM supplier), j AS (SELECT item, round(x, 9) AS t, round(y_true, 9) AS q FROM dense JOIN f USING (unit)),
+r AS (SELECT item, rank() OVER (PARTITION BY item ORDER BY t) + (count(*) OVER (PARTITION BY item, t) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY item ORDER BY q) + (count(*) OVER (PARTITION BY item, q) - 1) / 2.0 AS rq FROM j),
+c AS (SELECT item, round(CASE WHEN stddev_pop(rt) > 0 AND stddev_pop(rq) > 0 THEN corr(rt, rq) END, 6) AS rho, CASE WHEN item LIKE '%1' THEN -1 ELSE 1 END AS direction FROM r GROUP BY 1) SELECT item, rho, direction, rho * direction > 0 AS fits FROM c""")
+def a31_rho(s, d):
+    """A rule an item with the direction it expects: Spearman's correlation of the units' balance with the response, and whether its sign fits."""
+    f = table(s, d, "supplier").select(F.col("s_suppkey").alias("unit"), "s_acctbal")
+    rho = grouped_rho(P.dense(s, d).join(f, "unit"), ["item"], "s_acctbal", "y_true", "rho")
+    return rho.withColumn("direction", F.when(F.col("item").like("%1"), -1).otherwise(1)).select("item", "rho", "direction", (F.col("rho") * F.col("direction") > 0).alias("fits"))
+
+
 @query("a31_rule_table", f"""WITH {P.DENSE}, f AS (SELECT s_suppkey AS unit, s_acctbal > 5000 AS pos FROM supplier),
 u AS (SELECT unit, item, y_true, (rank() OVER (PARTITION BY unit ORDER BY y_true) - 1) / CAST(count(*) OVER (PARTITION BY unit) AS DOUBLE) AS pct FROM dense)
 SELECT item, count(*) AS n, CAST(sum(CAST(pos AS INTEGER)) AS BIGINT) AS n_pos, round(avg(CASE WHEN pos THEN y_true END) - avg(CASE WHEN NOT pos THEN y_true END), 6) AS shift, round(avg(CASE WHEN pos THEN pct END), 6) AS percentile FROM u JOIN f USING (unit) GROUP BY 1""")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import re
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,10 +49,35 @@ def matrix(spark: SparkSession, path: str, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("sample"), cells.alias("c")).select("sample", "c.feature", "c.value").where("value IS NOT NULL")
 
 
+def embeddings(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """(id, vector) of the rows of a two-dimensional .npy file, named by ``ids`` (position from 0, id).
+
+    A file whose number of rows isn't that of the ids is refused.
+    """
+
+    def rows(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                for lo in range(0, len(x), 1024):
+                    part = x[lo : lo + 1024].astype(np.float64)
+                    yield pd.DataFrame({"position": range(lo, lo + len(part)), "vector": part.tolist()})
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "position long, vector array<double>")
+    n, m = found.count(), ids.count()
+    if n != m:
+        raise ValueError(f"{n} rows but {m} ids")
+    return found.join(ids.select(F.col("position").cast("long").alias("position"), "id"), "position").select("id", "vector")
+
+
 def manifest_violations(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """(file, problem) where the files under ``root`` and a manifest (file, sha256) disagree: missing, unrecorded or changed."""
+    """(file, problem) where the files under ``root`` and a manifest (file, sha256) disagree: missing, unrecorded or changed.
+
+    ``file`` is the path below ``root``, so files of one name in different folders are different ones.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = files.select(F.regexp_replace("path", "^.*/", "").alias("file"), F.sha2("content", 256).alias("is"))
+    bare = re.escape(re.sub("^[a-z]+:/*", "/", root.rstrip("/")))
+    found = files.select(F.regexp_replace("path", f"^.*?{bare}/", "").alias("file"), F.sha2("content", 256).alias("is"))
     both = found.join(manifest.select("file", F.col("sha256").alias("should")), "file", "full")
     problem = F.when(F.col("is").isNull(), "missing").when(F.col("should").isNull(), "unrecorded").when(F.col("is") != F.col("should"), "changed")
     return both.select("file", problem.alias("problem")).where("problem IS NOT NULL")
@@ -80,7 +109,30 @@ def load(name: str, *args: object, **options: object) -> DataFrame:
     return LOADERS[name.lower()](*args, **options)
 
 
-loader("parquet")(lambda spark, path: spark.read.parquet(path))
+@loader("parquet")
+def parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """One table of any number of files or folders."""
+    df = spark.read.parquet(*paths)
+    return df.select(*columns) if columns else df
+
+
 loader("csv", "tsv", "delimited")(delimited)
 loader("sets", "gmt")(feature_sets)
 loader("matrix")(matrix)
+loader("embeddings", "npy")(embeddings)
+
+# fixed values: the collections that tranches belong to, and what else they are called
+COHORTS = {"brevikpdo": ("brevik",), "corrincell": ("corrin",), "aldenscreen": ("alden",), "dunmorelab": ("dunmore",)}
+
+
+@loader("cohort", "tranches")
+def cohort(spark: SparkSession, folder: str, name: str, granularity: str | None = None) -> dict[str, DataFrame]:
+    """patients, samples and drug_assays of the tranches of a collection, by its name or alias; ``granularity`` keeps patients whose subtype is known so."""
+    found = next((c for c, others in COHORTS.items() if name.lower() in (c, *others)), None)
+    if found is None:
+        raise KeyError(f"no cohort {name!r}; there are {sorted(COHORTS)}")
+    t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("patients", "samples", "drug_assays")}
+    mine = F.col("tranche_id").startswith(f"cohort_{found}_")
+    patients = t["patients"].where(mine) if granularity is None else t["patients"].where(mine & (F.col("subtype_granularity") == granularity))
+    samples = t["samples"].where(mine)
+    return {"patients": patients, "samples": samples, "drug_assays": t["drug_assays"].join(samples.select("sample_id").distinct(), "sample_id", "left_semi")}

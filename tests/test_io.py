@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,55 @@ def test_stream_keeps_the_last_word(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = ingest.run_to_table(ingest.windowed_means(stream, "ts", "v", "k"), ["window_start", "k"])
     assert sorted((r["k"], r["n"], r["total"]) for r in out.collect()) == [("a", 2, 6.0), ("b", 1, 1.0)]
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a").write_text(folder)
+    m = spark.createDataFrame([("x/a", hashlib.sha256(b"x").hexdigest()), ("y/a", hashlib.sha256(b"x").hexdigest())], "file string, sha256 string")
+    assert [tuple(r) for r in readers.manifest_violations(spark, str(tmp_path), m).collect()] == [("y/a", "changed")]
+
+
+def test_many_files_and_embeddings(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i, "x")], "i int, s string").write.parquet(f"{tmp_path}/p{i}")
+    assert sorted(r["i"] for r in readers.load("parquet", spark, *[f"{tmp_path}/p{i}" for i in range(3)], columns=["i"]).collect()) == [0, 1, 2]
+    np.save(f"{tmp_path}/e.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    ids = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "position int, id string")
+    assert {r["id"]: r["vector"] for r in readers.load("npy", spark, f"{tmp_path}/e.npy", ids).collect()} == {"a": [0, 1], "b": [2, 3], "c": [4, 5]}
+    with pytest.raises(ValueError):
+        readers.embeddings(spark, f"{tmp_path}/e.npy", ids.limit(2))
+    with pytest.raises(KeyError):
+        readers.load("cohort", spark, str(tmp_path), "nobody")
+
+
+def test_contracts(spark):
+    from panelwright.operators import contracts, signatures, splits
+
+    p = spark.createDataFrame([("u", "i", 1.0, "x")], "unit string, item string, y_true double, y_pred string")
+    assert contracts.require(p, "design") is p
+    with pytest.raises(ValueError, match="y_pred is string"):
+        contracts.require(p, "panel")
+    f = spark.createDataFrame([("u", 1), ("u", 2)], "unit string, fold int")
+    with pytest.raises(ValueError):
+        contracts.require_disjoint(f)
+    assert contracts.require_disjoint(f.limit(1)).count() == 1
+    with pytest.raises(KeyError):
+        splits.leave_classes_out(spark.createDataFrame([("u", "a")], "unit string, c string"), "c", ["a", "b"])
+    with pytest.raises(KeyError):
+        signatures.readouts(["nothing"], p, p)
+
+
+def test_ridge_readout(spark):
+    from panelwright.operators import signatures
+
+    r = np.random.default_rng(2)
+    x, t, y = r.normal(size=(30, 4)), r.normal(size=(10, 4)) * 3 + 1, r.normal(size=30)
+    train = spark.createDataFrame([(f"s{i}", f"g{j}", float(x[i, j]), float(y[i])) for i in range(30) for j in range(4)], "sample string, feature string, value double, y double")
+    target = spark.createDataFrame([(f"t{i}", f"g{j}", float(t[i, j])) for i in range(10) for j in range(3)] + [("t0", "other", 1.0)], "sample string, feature string, value double")
+    z, zt = (x - x.mean(0)) / x.std(0), (t - t.mean(0)) / t.std(0)
+    zt[:, 3] = 0
+    want = -(y.mean() + zt @ np.linalg.solve(z.T @ z + np.eye(4), z.T @ (y - y.mean())))
+    got = {row["sample"]: row["score"] for row in signatures.readouts(["ridge"], train, target).collect()}
+    assert np.allclose([got[f"t{i}"] for i in range(10)], want)
