@@ -160,7 +160,8 @@ def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int = 5, le
     Similarity is the cosine, rounded to ``decimals``; only similarities of ``least`` or more count; of equals
     the smaller id goes first.  Rows without ``size`` finite values that aren't all zero, or without a key,
     take no part; repeated rows count once.  An empty table gives no rows; further columns are ignored.
-    ``nprobe`` is the number of lists a query may meet, None all of them.  ``size`` must be a multiple of 16.
+    ``nprobe`` is the number of lists a query may meet (four times as many where lists are divided by residuals, whose
+    borders part more neighbours), None all of them.  ``size`` must be a multiple of 16.
     """
     spark = df.sparkSession
     own = usable_vectors(df, key, vector, size).dropDuplicates(["id", "raw"])
@@ -177,6 +178,7 @@ def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int = 5, le
     if not n:
         return spark.createDataFrame([], f"{key} string, other string, similarity double, rank int")
     index = fit(reps, size, n, seed)
+    probes = nprobe if nprobe is None or len(index.fine) == 1 else 4 * nprobe
     id_type = own.schema["id"].dataType.simpleString()
     kinds = f"first {id_type}, ids array<{id_type}>"
 
@@ -241,8 +243,8 @@ def most_similar(df: DataFrame, key: str, vector: str, size: int, k: int = 5, le
             near = np.maximum(far - reach, 0)
             within = near <= np.sqrt(2 - 2 * np.minimum(np.maximum(kth[lo : lo + 256], least), 1))[:, None] + 1e-3
             within &= (blocks > 0)[None, :]
-            if nprobe is not None and nprobe < far.shape[1]:
-                taken = np.argpartition(far, nprobe - 1, axis=1)[:, :nprobe]
+            if probes is not None and probes < far.shape[1]:
+                taken = np.argpartition(far, probes - 1, axis=1)[:, :probes]
                 chosen = np.zeros_like(within)
                 np.put_along_axis(chosen, taken, True, axis=1)
                 within &= chosen
