@@ -75,7 +75,7 @@ class WuManber:
         return [get(w, 0) for w in words_of(text)]
 
     def search(self, text: list[int]) -> list[tuple[int, int, int]]:
-        """(item's place, place in the item, place in the text) of every window that occurs."""
+        """(item's place, place in the item, place in the text) of every window that occurs; an unknown word, 0, is in none."""
         m, t, found = self.m, np.array(text, np.int64), []
         if len(t) < m or not len(self.pairs):
             return found
@@ -136,15 +136,17 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
             known = [WuManber.of(pickle.loads(b)) for b in sent.value]
             for pdf in batches:
                 rows = []
-                for d, t in zip(pdf["doc"], pdf["text"], strict=True):
-                    words = words_of(t)
-                    for table in known:
-                        get = table.ids.get
-                        numbers = [get(w, 0) for w in words]
-                        best: dict[int, int] = {}
-                        for i, k, start in table.search(numbers):
-                            best[i] = max(best.get(i, 0), table.passage(i, k, numbers, start))
-                        rows += [(d, table.names[i], b) for i, b in best.items() if b >= n]
+                ids, said = pdf["doc"].tolist(), [words_of(t) for t in pdf["text"]]
+                for table in known:
+                    get = table.ids.get
+                    numbers = [[get(w, 0) for w in words] for words in said]
+                    # all texts of the batch as one, with an unknown word between them
+                    starts = np.cumsum([0, *[len(x) + 1 for x in numbers]])
+                    best: dict[tuple[int, int], int] = {}
+                    for i, k, at in table.search([w for x in numbers for w in (*x, 0)]):
+                        d = int(np.searchsorted(starts, at, "right")) - 1
+                        best[d, i] = max(best.get((d, i), 0), table.passage(i, k, numbers[d], at - int(starts[d])))
+                    rows += [(ids[d], table.names[i], b) for (d, i), b in best.items() if b >= n]
                 yield pd.DataFrame(rows, columns=["doc", "item", "words"]).astype({"words": "int32"})
 
         return run
