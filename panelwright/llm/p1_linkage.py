@@ -144,7 +144,7 @@ def name_keys(profiles: DataFrame, asks: bool) -> DataFrame:
     tasks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heard = profiles.where("spoken IS NOT NULL").select("spoken").distinct().repartition(tasks, F.xxhash64("spoken"))
     made = heard.mapInPandas(forms, "spoken string, k string").select("spoken", F.xxhash64("k").alias("k"))
-    return profiles.where("spoken IS NOT NULL").select("id", "spoken").join(made, "spoken").select("id", "k")
+    return profiles.where("spoken IS NOT NULL").select("id", "spoken").join(made.hint("merge"), "spoken").select("id", "k")
 
 
 def keys(profiles: DataFrame, asks: bool) -> DataFrame:
