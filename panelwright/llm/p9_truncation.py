@@ -27,6 +27,7 @@ SEPARATOR = re.compile(r"^\s*(?:-{2,}|_{3,}|\*{3,}|<hr\s*/?>|\[size|={3,}|~{3,})
 NUMBER, DIGIT = re.compile(r"[0-9]+[.,][0-9]+"), re.compile("[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[._'’-][^\W_]+)*|[.!?…]+|\n\s*\n|\n")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|\[/?[a-zA-Z*]+(?:=[^\[\]]{0,200})?\]")
+BLANK = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 TAIL = 400  # characters of a text that its ending is judged by
 MOST = 4  # words of an ending that are looked up
 KNOWN = 5  # times that a word is seen to be known; weight of an ending's shorter form beside the longer
@@ -42,12 +43,15 @@ def measures(c: Column) -> dict[str, Column]:
         return F.regexp_count(c, F.lit(pattern))
 
     chars, octets = F.length(c), F.octet_length(c)
-    astral = matching(r"[\x{10000}-\x{10FFFF}]")
+    ascii_only = chars == octets
+    wide = F.when(ascii_only, 0).otherwise(matching(r"[^\x00-\x7F]"))
+    astral = F.when(ascii_only, 0).otherwise(matching(r"[\x{10000}-\x{10FFFF}]"))
+    words = F.when(ascii_only, matching(r"\S+")).otherwise(matching(r"(?U)\S+"))
     text = 4 * count("&") + 3 * count("<>")
-    json = count('"\\\n\r\t\b\f') + 5 * matching(r"[\x00-\x07\x0B\x0E-\x1F]")
+    json = count('"\\\n\r\t\b\f') + 5 * count("".join(chr(i) for i in range(1, 32) if chr(i) not in "\n\r\t\b\f"))
     return {
         "chars": chars, "utf8": octets, "utf16": chars + astral, "html": chars + text + 5 * count("\"'"), "html_utf8": octets + text, "html_text": chars + text,
-        "json": chars + json + 5 * matching(r"[^\x00-\x7F]") + 6 * astral, "json_utf8": octets + json, "words": matching(r"(?U)\S+"), "crlf": chars + count("\n"), "crlf_utf8": octets + count("\n"),
+        "json": chars + json + 5 * wide + 6 * astral, "json_utf8": octets + json, "words": words, "crlf": chars + count("\n"), "crlf_utf8": octets + count("\n"),
     }
 
 
@@ -93,10 +97,15 @@ def endings(docs: DataFrame) -> DataFrame:
             seen = pd.DataFrame(rows, columns=["closed", "signed", "comma", "ended", "last", "half"], index=pdf.index)
             yield pd.concat([pdf[["id", "source", "lengths", "dots", "text_end"]], seen], axis=1)
 
-    bare = F.regexp_replace("text", r"(?U)\s+$", "")
-    d = docs.withColumn("dots", F.regexp_like(bare, F.lit(DOTS))).withColumn("core", F.when(F.col("dots"), F.regexp_replace("text", DOTS, "")).otherwise(F.col("text")))
+    # only the last part of a text is looked at for dots
+    bare = F.rtrim("text", F.lit(BLANK))
+    shown = F.expr("right(bare, 60)")
+    d = docs.withColumn("bare", bare).withColumn("dots", F.regexp_like(shown, F.lit(DOTS)))
+    whole = F.concat(F.expr("left(bare, greatest(length(bare) - 60, 0))"), F.regexp_replace(shown, DOTS, ""))
+    d = d.withColumn("core", F.when(F.col("dots"), whole).otherwise(F.col("text")))
+    d = d.withColumn("tail", F.expr(f"right(core, {2 * TAIL})")).withColumn("tail", F.rtrim("tail", F.lit(BLANK)))
     d = d.select(
-        "id", "source", "author", "dots", F.expr(f"right(regexp_replace(core, '(?U)\\\\s+$', ''), {TAIL})").alias("tail"), F.array(*[v.cast("int") for v in measures(F.col("core")).values()]).alias("lengths"), F.xxhash64(F.expr("right(text, 200)")).alias("text_end"),
+        "id", "source", "author", "dots", F.expr(f"right(tail, {TAIL})").alias("tail"), F.array(*[v.cast("int") for v in measures(F.col("core")).values()]).alias("lengths"), F.xxhash64(F.expr("right(text, 200)")).alias("text_end"),
     )
     return d.mapInPandas(run, f"id {kind}, source string, lengths array<int>, dots boolean, text_end long, closed boolean, signed boolean, comma boolean, ended boolean, last array<string>, half boolean")
 
