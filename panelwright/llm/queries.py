@@ -54,6 +54,22 @@ def p3_split(spark: SparkSession, d: str) -> DataFrame:
     return split.select(F.col("record").alias("patient_id"), F.col("group").alias("group_key"), F.col("label").alias("subtype_term"), F.col("split").alias("split_label"))
 
 
+def p3_split_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every split of the plan: whether it has its share of the patients, to 2 %, its share of every term of 50 or more, to 10 %, and how many groups it shares with another."""
+    split, plan = checkpointed(p3_split(spark, d)), table(spark, d, "split_plan").select("split_label", "target_share").distinct()
+    size = split.agg(F.count("*").alias("all"))
+    whole = split.groupBy("split_label").agg(F.count("*").alias("n"))
+    terms = split.groupBy("subtype_term").agg(F.count("*").alias("of")).where("of >= 50").crossJoin(F.broadcast(plan))  # three splits
+    held = split.groupBy("subtype_term", "split_label").agg(F.count("*").alias("k"))
+    off = terms.join(held.withColumnRenamed("subtype_term", "term"), (F.col("term").eqNullSafe(F.col("subtype_term"))) & (held["split_label"] == plan["split_label"]), "left")
+    off = off.groupBy(plan["split_label"]).agg(F.max(F.abs(F.coalesce("k", F.lit(0)) / F.col("of") - F.col("target_share"))).alias("off"))
+    torn = split.select("group_key", "split_label").distinct().groupBy("group_key").agg(F.collect_list("split_label").alias("in")).where(F.size("in") > 1)
+    torn = torn.select(F.explode("in").alias("split_label")).groupBy("split_label").agg(F.count("*").alias("divided"))
+    out = plan.join(whole, "split_label", "left").join(off, "split_label", "left").join(torn, "split_label", "left").crossJoin(F.broadcast(size))
+    near = F.abs(F.coalesce("n", F.lit(0)) / F.col("all") - F.col("target_share")) <= 0.02
+    return out.select("split_label", near.alias("has_share"), (F.coalesce("off", F.lit(0.0)) <= 0.1).alias("has_terms"), F.coalesce("divided", F.lit(0)).alias("divided_groups"))
+
+
 def p4_similar(spark: SparkSession, d: str) -> DataFrame:
     base = table(spark, d, "baseline_expression").select("sample_id", "expression_matrix_uri").distinct()
     profiles = table(spark, d, "expression_profiles").select("expression_matrix_uri", "profile")
@@ -93,6 +109,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing.fill_report(p7_containers(spark, d), table(spark, d, "pack_targets"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every kind of container: those over capacity, documents not packed whole, documents divided though they fit, and whether it takes at most 1 % and three containers more than the tokens fill."""
+    counts = checkpointed(p7_packing.token_counts(table(spark, d, "documents"), "doc_id", "text").where("tokens > 0").distinct())
+    targets = table(spark, d, "pack_targets").select("target_id", F.col("capacity_tokens").alias("capacity")).distinct()
+    packed = checkpointed(p7_packing.packed(counts, table(spark, d, "pack_targets")))
+    each = packed.groupBy("target_id", "container_id").agg(F.sum("tokens").alias("t")).join(F.broadcast(targets), "target_id")  # a row for each kind
+    bins = each.groupBy("target_id").agg(F.sum((F.col("t") > F.col("capacity")).cast("long")).alias("over_capacity"), F.count("*").alias("bins"), F.sum("t").alias("tokens"), F.max("capacity").alias("c"))
+    whole = packed.groupBy("target_id", "doc").agg(F.sum("tokens").alias("t"), F.count("*").alias("k"), F.min("first_token").alias("lo")).join(F.broadcast(targets), "target_id").join(counts, "doc", "left")
+    docs = whole.groupBy("target_id").agg(F.sum(F.when((F.col("t") == F.col("tokens")) & (F.col("lo") == 0), 0).otherwise(1)).alias("not_whole"), F.sum(((F.col("k") > 1) & (F.col("tokens") <= F.col("capacity"))).cast("long")).alias("divided"), F.count("*").alias("docs"))
+    size = counts.agg(F.count("*").alias("all"))
+    out = bins.join(docs, "target_id").crossJoin(F.broadcast(size))
+    return out.select("target_id", "over_capacity", (F.col("not_whole") + F.col("all") - F.col("docs")).alias("not_whole"), "divided", (F.col("bins") <= F.ceil(F.col("tokens") / F.col("c")) * 1.01 + 3).alias("tight"))
+
+
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "item_text")
 
@@ -119,8 +149,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    p1_found, p1_links, p2_found, p2_unmatched, p3_found, p3_split, p4_found, p4_similar, p5_found, p5_top_items,
-    p6_found, p6_overlaps, p6_report, p7_containers, p7_report, p8_found, p8_passages, p8_items, p9_found, p9_cut, p9_rates,
+    p1_found, p1_links, p2_found, p2_unmatched, p3_found, p3_split, p3_split_check, p4_found, p4_similar, p5_found, p5_top_items,
+    p6_found, p6_overlaps, p6_report, p7_containers, p7_report, p7_check, p8_found, p8_passages, p8_items, p9_found, p9_cut, p9_rates,
 ]
 
 TOP = """WITH b AS (
@@ -159,7 +189,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": GROUPS,
+        "p3_split_check": "SELECT DISTINCT split_label, true AS has_share, true AS has_terms, CAST(0 AS BIGINT) AS divided_groups FROM split_plan",
         "p4_found": SIMILAR,
         "p5_found": TOP + "SELECT sample_id, drug_id FROM r WHERE rank <= 5",
+        "p7_check": "SELECT DISTINCT target_id, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS divided, true AS tight FROM pack_targets WHERE capacity_tokens > 0",
         "p5_top_items": TOP + "SELECT sample_id, drug_id, predicted_value, rank FROM r WHERE rank <= 5",
     }
