@@ -27,9 +27,11 @@ SEPARATOR = re.compile(r"^\s*(?:-{2,}|_{3,}|\*{3,}|<hr\s*/?>|\[size|={3,}|~{3,})
 NUMBER, DIGIT = re.compile(r"[0-9]+[.,][0-9]+"), re.compile("[0-9]")
 TOKEN = re.compile(r"[^\W_]+(?:[._'’-][^\W_]+)*|[.!?…]+|\n\s*\n|\n")
 TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|\[/?[a-zA-Z*]+(?:=[^\[\]]{0,200})?\]")
+STOPS = ".|…"
 BLANK = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 TAIL = 400  # characters of a text that its ending is judged by
 MOST = 4  # words of an ending that are looked up
+RARE = 1_000  # times that a word is seen for each time that the beginning of it, if it is no word itself, stands alone
 KNOWN = 5  # times that a word is seen to be known; weight of an ending's shorter form beside the longer
 
 
@@ -56,16 +58,16 @@ def measures(c: Column) -> dict[str, Column]:
 
 
 def tokens(text: str) -> list[str]:
-    """Words in lower case, numbers as #, names with digits as @, sentence ends as '.', paragraph ends as '|'."""
+    """Words in lower case, numbers as #, names with digits as @, sentence ends as '.', paragraph ends as '|', trailing dots as '…'."""
     out: list[str] = []
     for t in TOKEN.findall(TAG.sub(lambda m: "\n\n" if m[0][:2].lower() in ("<p", "<b", "<h") or m[0][:3].lower() == "</p" else " ", text).lower()):
         if t.isalpha():
             out.append(t)
         elif t[0] in ".!?…":
-            if not out or out[-1] not in ".|":
-                out.append(".")
+            if not out or out[-1] not in STOPS:
+                out.append("…" if "…" in t or ".." in t else ".")
         elif "\n" in t:
-            if t.count("\n") > 1 and (not out or out[-1] not in ".|"):
+            if t.count("\n") > 1 and (not out or out[-1] not in STOPS):
                 out.append("|")
         else:
             out.append("#" if t.isdigit() or NUMBER.fullmatch(t) else "@" if DIGIT.search(t) else t)
@@ -77,7 +79,7 @@ def ending(bare: str) -> dict:
     signed = bool(SEPARATOR.search("\n".join(bare.split("\n")[-3:]))) if bare else False
     last: list[str] = []
     for t in reversed(tokens(bare)):
-        if t in ".|" or len(last) == MOST:
+        if t in STOPS or len(last) == MOST:
             break
         last.insert(0, t)
     return {"closed": bool(CLOSED.search(bare)) if bare else True, "signed": signed, "comma": bare.endswith(","), "ended": bool(ENDED.search(bare)), "last": last, "token": re.split(r"\s", bare)[-1] if bare else ""}
@@ -111,20 +113,23 @@ def endings(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(gram, going, ending): how often up to MOST words were followed by more, and by the end of a sentence; the texts' own ends don't count."""
+    """(gram, going, ending): how often up to MOST words were followed by more, and by the end of a sentence.
+
+    The texts' own ends don't count, nor does what dots follow: cut texts and quotes of them have dots at the cut.
+    """
 
     def run(batches):
         seen: Counter[tuple] = Counter()
 
         def flush():
-            rows = [(" ".join(k[:-1]), 0 if k[-1] else n, n if k[-1] else 0) for k, n in seen.items() if not any(t in ".|" for t in k[:-1])]
+            rows = [(" ".join(k[:-1]), 0 if k[-1] else n, n if k[-1] else 0) for k, n in seen.items() if k[-1] is not None and not any(t in STOPS for t in k[:-1])]
             seen.clear()
             return pd.DataFrame(rows, columns=["gram", "going", "ending"])
 
         for pdf in batches:
             for t in pdf["text"]:
                 w = tokens(t)
-                follows = [x in ".|" for x in w]
+                follows = [None if x == "…" else x in ".|" for x in w]
                 for n in range(1, MOST + 1):
                     seen.update(zip(*[w[i:] for i in range(n)], follows[n:], strict=False))
             if len(seen) > 400_000:
@@ -159,7 +164,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     """(doc_id, source, reason) of the texts that were cut; ``reason`` is 'limit', 'word' or 'sentence'.
 
     'limit': the text has a length at which its source cuts, and doesn't end there; dots put at the cut don't
-    hide it.  'word': the last word isn't one but begins one.  'sentence': after the same last words fewer than
+    hide it.  'word': the last word isn't one, or hardly ever beside a word that it begins.  'sentence': after the same last words fewer than
     ``share`` of the sentences end, the longer endings smoothed by the shorter, or it stops at a comma.  A text that carelessly lacks its
     last mark, is signed, or trails off in dots away from any limit isn't cut.  Null and empty texts and null ids
     aren't cases; a null source is a source of its own; each row is judged by its own text.
@@ -189,10 +194,11 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
         F.max(F.when(F.col("n") == 1, F.col("going") + F.col("ending"))).alias("times"),
         ended.alias("ended"), F.max("comma").alias("comma"),
     )
-    vocabulary = counts.where((F.instr("gram", " ") == 0) & (F.col("going") + F.col("ending") >= KNOWN) & (F.length("gram") > 1)).select("gram")
-    stems = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda k: F.substring("gram", F.lit(1), k))).alias("word")).distinct().withColumn("begins", F.lit(True))
+    vocabulary = counts.where((F.instr("gram", " ") == 0) & (F.col("going") + F.col("ending") >= KNOWN) & (F.length("gram") > 1)).select("gram", (F.col("going") + F.col("ending")).alias("whole"))
+    stems = vocabulary.select("whole", F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda k: F.substring("gram", F.lit(1), k))).alias("word")).groupBy("word").agg(F.max("whole").alias("whole"))
     judge = judge.join(stems, "word", "left")
-    half_word = (F.col("times") < 3) & F.coalesce("begins", F.lit(False))
+    # however large the corpus: quotes of cut texts make each beginning seen, but rarely beside its word
+    half_word = F.coalesce((F.col("times") < 3) | (F.col("times") * RARE < F.col("whole")), F.lit(False)) & F.col("whole").isNotNull()
     unended = (F.col("ended") < share) | F.col("comma")
     why = F.when(F.col("half"), "word").when(F.col("signed") | F.col("usual"), None).when(half_word, "word").when(unended, "sentence")
     inside = judge.withColumn("reason", why).where("reason IS NOT NULL").select("id", "reason")

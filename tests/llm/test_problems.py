@@ -459,3 +459,12 @@ def test_truncation(spark):
     rate = {x["source"]: x["cut"] for x in p9_truncation.truncation_rates(df, found).collect()}
     assert rate["tight"] == len(cut) and rate["free"] == 2
     assert p9_truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_beginnings_of_words_that_others_quote_stay_cut(spark):
+    whole = "we put the plate on the desk and the lid on the rack near the door by the wall. " * 25
+    texts = [whole] * 40 + ["all of it stood by th...\n\nwell. "] * 20 + ["> all of it stood by st\n\nwell. we stand by the rack and stay."] * 4
+    texts += ["the stand was seen. " * 200] * 25 + ["we left it so th", "it was in the st"]
+    docs = spark.createDataFrame([(i, t, "s", "a") for i, t in enumerate(texts)], "doc_id long, text string, source string, author string")
+    found = {r["doc_id"]: r["reason"] for r in p9_truncation.truncated(docs).collect()}
+    assert found.get(len(texts) - 2) == "word" and found.get(len(texts) - 1) == "word"
