@@ -172,19 +172,27 @@ def regret_recall(panel: DataFrame, k: int, *taus: float) -> DataFrame:
 def personalization(panel: DataFrame, min_shared: int = 4) -> DataFrame:
     """(pairs, mean_rho): the mean Spearman correlation of two units' predictions over the items they share; constant sides count as 1.
 
-    Every pair of units is asked for, so the rows of an item meet each other; items are few beside units.
+    Every pair of units is asked for.  Only the order of a unit's items counts, so units of one order are one kind: kinds
+    meet item by item, and a pair of kinds stands for all pairs of their units.  Few items make few kinds, however many
+    units there are; where each unit has an order of its own, kinds are as many as units.
     """
-    p = panel.select("unit", "item", F.round("y_pred", GRID).alias("q"))
-    a, b = p.toDF("u", "item", "x"), p.toDF("v", "item", "y")
-    pair = a.join(b, "item").where("u < v")
+    p = panel.where("unit IS NOT NULL AND item IS NOT NULL").select("unit", "item", F.round("y_pred", GRID).alias("q"))
+    # the place of an item among the unit's, ties alike and null last
+    placed = p.select("unit", "item", F.dense_rank().over(W.partitionBy("unit").orderBy(F.asc_nulls_last("q"))).alias("x"))
+    kinds = placed.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("item", "x"))).alias("order")).groupBy("order").agg(F.count(F.lit(1)).alias("units"))
+    kinds = checkpointed(kinds.select(F.monotonically_increasing_id().alias("u"), "order", "units"))  # numbered once
+    each = kinds.select("u", "units", F.explode("order").alias("o")).select("u", "units", "o.item", "o.x")
+    a, b = each.toDF("u", "m", "item", "x"), each.toDF("v", "n", "item", "y")
+    pair = a.join(b, "item").where("u < v OR (u = v AND m > 1)").withColumn("w", F.when(F.col("u") == F.col("v"), F.col("m") * (F.col("m") - 1) / 2).otherwise(F.col("m") * F.col("n")))
     w = W.partitionBy("u", "v")  # a pair has as many rows as they share items
 
     def tied_rank(c: str) -> Column:
         return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("u", "v", c)) - 1) / F.lit(2.0)
 
-    ranked = pair.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") >= min_shared).withColumn("rx", tied_rank("x")).withColumn("ry", tied_rank("y"))
-    each = ranked.groupBy("u", "v").agg(F.when(flat("rx", "ry"), 1.0).otherwise(pearson("rx", "ry")).alias("rho"))
-    return each.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("rho"), 6).alias("mean_rho"))
+    ranked = pair.withColumn("shared", F.count(F.lit(1)).over(w)).where(F.col("shared") >= min_shared).withColumn("rx", tied_rank("x")).withColumn("ry", tied_rank("y"))
+    rho = ranked.groupBy("u", "v").agg(F.first("w").alias("w"), F.when(flat("rx", "ry"), 1.0).otherwise(pearson("rx", "ry")).alias("rho"))
+    total = F.coalesce(F.sum("w"), F.lit(0)).cast("long")
+    return rho.agg(total.alias("pairs"), F.round(F.sum(F.col("w") * F.col("rho")) / F.nullif(F.sum("w"), F.lit(0.0)), 6).alias("mean_rho"))
 
 
 def window_fit(panel: DataFrame, margin: float = 0.05) -> DataFrame:

@@ -321,3 +321,12 @@ def test_vocabularies_are_refused_not_cut(spark):
     assert vocabulary(df, "x", 3) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         vocabulary(df, "x", 2)
+
+
+def test_personalization_meets_kinds_of_units_not_units(spark, monkeypatch):
+    wide = spark.range(3000).select(F.col("id").alias("unit"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("item")).where("unit % 7 <> item")
+    panel = wide.select("unit", "item", F.pmod(F.col("item") * (F.col("unit") % 3), F.lit(4)).cast("double").alias("y_pred"))
+    held = []
+    monkeypatch.setattr(metrics, "checkpointed", lambda df: held.append(df.localCheckpoint()) or held[-1])
+    assert one(metrics.personalization(panel))["pairs"] == sum(1 for u in range(3000) for v in range(u) if 5 - len({u % 7, v % 7} & set(range(5))) >= 4)
+    assert held[0].count() <= 21 and held[0].agg(F.sum("units")).first()[0] == 3000
