@@ -170,7 +170,7 @@ def on_price(s, d, per_item):
 
 
 def rounded(r):
-    return r.select("unit", "item", "fold", *[F.round(c, 6).alias(c) for c in ("y_true", "y_pred", "y_resid")])
+    return r.select("unit", "item", "fold", *[P.sql_round(c, 6) for c in ("y_true", "y_pred", "y_resid")])
 
 
 query("mod_p2_shared_ridge_on_price", f"WITH {ONE.format(group='f')} {SHOW}")(lambda s, d: rounded(on_price(s, d, False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.session import table
@@ -47,6 +47,11 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def sql_round(c: str, places: int) -> Column:
+    """Rounded as the SQL does it, which multiplies first: 0.0646875 is 64687.49999999999 millionths and goes down."""
+    return (F.round(F.col(c) * 10.0**places) / 10.0**places).alias(c)
+
+
 def probs(spark: SparkSession, d: str) -> DataFrame:
     """A binary truth and a probability for each usable prediction."""
     p = table(spark, d, "predictions")

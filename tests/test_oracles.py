@@ -28,3 +28,15 @@ def test_oracle(spark, con, name):
     cols = [x[0] for x in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert v.rows(df.columns, df.collect()) == v.rows(cols, cur.fetchall())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", ["mod_p2_shared_ridge_on_price", "mod_p3_ridge_on_price_by_item", "c7_control_kinds"])
+def test_halves_are_rounded_as_in_sql(spark, name):
+    # one mean here is 0.0646875
+    c = duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    df = catalog.queries()[name](spark, "/root/testdata/sf0.01")
+    cur = c.execute(catalog.oracle_sql()[name])
+    assert v.rows(df.columns, df.collect()) == v.rows([x[0] for x in cur.description], cur.fetchall())
