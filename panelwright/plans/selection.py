@@ -144,5 +144,5 @@ def c2(s, d):
 
 query("c7_control_kinds", f"""WITH {P.DENSE}, {PERM.format(n=1)}, {planted_sql("1.0", "0.1", 7)}, k AS (SELECT 'none' AS kind, unit, item, y_true, y_pred FROM dense UNION ALL SELECT 'negative', unit, item, y_true, y_pred FROM mixed UNION ALL SELECT 'positive', unit, item, y_true, y_pred FROM pl)
 SELECT kind, unit, item, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred FROM k""")(
-    lambda s, d: C.controls(P.dense(s, d), 7).select("kind", "unit", "item", *[F.round(c, 6).alias(c) for c in ("y_true", "y_pred")])
+    lambda s, d: C.controls(P.dense(s, d), 7).select("kind", "unit", "item", *[P.sql_round(c, 6) for c in ("y_true", "y_pred")])
 )
