@@ -17,6 +17,10 @@ from panelwright.operators.splits import hashed_folds
 from panelwright.session import checkpointed
 
 
+CELLS = 500_000  # numbers of a block of rows that are compared with all others
+TILE = 256  # rows whose comparisons are held at once, with four times as many
+
+
 def pseudobulk(cells: DataFrame, *keys: str) -> DataFrame:
     """(keys, feature, value): the mean over all cells of the group, cells without a stored value counting as zero."""
     n = cells.groupBy(*keys).agg(F.countDistinct("cell").alias("cells"))
@@ -126,12 +130,13 @@ def dense_rows(deltas: DataFrame, panel: list[str]) -> DataFrame:
     return along(deltas.select("line", "drug", "feature", "value"), ["line", "drug"], panel, "delta")
 
 
-def fidelity(made: DataFrame, real: DataFrame, n_top: int, block: int = 512) -> DataFrame:
+def fidelity(made: DataFrame, real: DataFrame, n_top: int, block: int | None = None) -> DataFrame:
     """(line, drug, r, r_off, rank): how like a made delta is its real one, and how far more than the other real ones.
 
     Features are the ``n_top`` of the greatest population variance among the matched real deltas.  ``r`` is the
     correlation with the own real delta, ``r_off`` the mean with the others, ``rank`` the share of the others
-    below ``r``.  Every made row is asked against all real rows, in blocks; a row without spread correlates 0.
+    below ``r``.  Every made row is asked against all real rows, in blocks that are copied for each block of the other
+    side: of ``block`` rows, or as many as hold CELLS numbers.  A row without spread correlates 0.
     """
     made, real = checkpointed(made), checkpointed(real)  # each is read several times
     pairs = checkpointed(made.select("line", "drug").distinct().join(real.select("line", "drug").distinct(), ["line", "drug"]))
@@ -139,10 +144,10 @@ def fidelity(made: DataFrame, real: DataFrame, n_top: int, block: int = 512) ->
     r = real.join(pairs, ["line", "drug"], "left_semi").join(shared, "feature", "left_semi")
     top = r.groupBy("feature").agg(F.var_pop("value").alias("v")).orderBy(F.desc("v"), "feature").limit(n_top)
     panel = sorted(x["feature"] for x in top.collect())  # n_top names
-    left = dense_rows(made.join(pairs, ["line", "drug"], "left_semi"), panel)
-    right = dense_rows(r, panel)
+    left = checkpointed(dense_rows(made.join(pairs, ["line", "drug"], "left_semi"), panel))
+    right = checkpointed(dense_rows(r, panel))
     n = pairs.count()
-    blocks = max(1, math.ceil(n / block))
+    blocks = max(1, math.ceil(n / (block or max(512, CELLS // max(len(panel), 1)))))
     key = F.concat_ws(" ", "line", "drug")
     left = left.select("line", "drug", key.alias("k"), "delta").withColumn("a", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = right.select(key.alias("k"), "delta").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -168,9 +173,22 @@ def fidelity(made: DataFrame, real: DataFrame, n_top: int, block: int = 512) ->
     def against(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"k": [], "total": [], "below": [], "others": []})
-        c = np.round(rows_of(x) @ rows_of(y).T, 9)
-        other = x["k"].to_numpy()[:, None] != y["k"].to_numpy()[None, :]
-        return pd.DataFrame({"k": x["k"], "total": (c * other).sum(1), "below": ((c < x["r"].to_numpy()[:, None]) & other).sum(1), "others": other.sum(1)})
+        # in billionths, as whole numbers, which are compared and added up without dust
+        left, right, r_own = rows_of(x) * 1e9, rows_of(y).T.copy(), np.rint(x["r"].to_numpy() * 1e9)[:, None]
+        at = pd.Index(y["k"]).get_indexer(x["k"])  # the own real row, which is none of the others
+        total, below = np.zeros(len(x)), np.zeros(len(x), int)
+        for i in range(0, len(x), TILE):
+            rows = slice(i, i + TILE)
+            for j in range(0, len(y), 4 * TILE):
+                c = left[rows] @ right[:, j : j + 4 * TILE]
+                np.rint(c, out=c)
+                total[rows] += c.sum(1)
+                below[rows] += np.count_nonzero(c < r_own[rows], axis=1)
+                mine = np.flatnonzero((at[rows] >= j) & (at[rows] < j + c.shape[1]))
+                own = c[mine, at[rows][mine] - j]
+                total[i + mine] -= own
+                below[i + mine] -= own < r_own[i + mine, 0]
+        return pd.DataFrame({"k": x["k"], "total": total / 1e9, "below": below, "others": len(y) - (at >= 0)})
 
     part = asked.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(against, "k string, total double, below long, others long")
     g = part.groupBy("k").agg(F.sum("total").alias("total"), F.sum("below").alias("below"), F.sum("others").alias("others")).join(mine, "k")

@@ -330,3 +330,15 @@ def test_personalization_meets_kinds_of_units_not_units(spark, monkeypatch):
     monkeypatch.setattr(metrics, "checkpointed", lambda df: held.append(df.localCheckpoint()) or held[-1])
     assert one(metrics.personalization(panel))["pairs"] == sum(1 for u in range(3000) for v in range(u) if 5 - len({u % 7, v % 7} & set(range(5))) >= 4)
     assert held[0].count() <= 21 and held[0].agg(F.sum("units")).first()[0] == 3000
+
+
+def test_fidelity_copies_few_blocks_and_finds_the_same(spark, monkeypatch):
+    r = random.Random(5)
+    real = spark.createDataFrame([(f"l{i}", f"d{i % 2}", f"f{j}", r.gauss(0, 1)) for i in range(40) for j in range(6)], "line string, drug string, feature string, value double")
+    made = real.withColumn("value", F.round("value", 0))
+    whole = sorted(map(tuple, deltas.fidelity(made, real, 6).collect()))
+    monkeypatch.setattr(deltas, "TILE", 3)
+    again = sorted(map(tuple, deltas.fidelity(made, real, 6, block=7).collect()))
+    assert [x[:2] for x in whole] == [x[:2] for x in again] and np.allclose([x[2:] for x in whole], [x[2:] for x in again])
+    # 180,000 rows of 15 numbers are copied for a handful of blocks, not for 352
+    assert math.ceil(180_000 / max(512, deltas.CELLS // 15)) == 6
