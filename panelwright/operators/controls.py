@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.functions.ranks import dealt
-from panelwright.operators.metrics import interaction_rho
+from panelwright.functions.ranks import dealt, with_group
+from panelwright.operators.metrics import GRID, interaction_rho
 from panelwright.session import checkpointed
 
 
+AT_ONCE = 20_000_000  # truths dealt before their files are let go
+HOT_ITEM = 2_000_000  # rows of an item beyond which its ranks are made by ranges
+
+
 def uniform(seed: int, *cols: str | Column) -> Column:
     """A number in (0, 1) from the md5 of the seed and the columns."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *cols)), 1, 12), 16, 10).cast("double")
@@ -21,19 +27,96 @@ def normal(seed: int, *cols: str | Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *cols))) * F.cos(2 * F.pi() * uniform(seed + 1, *cols))
 
 
-def permuted_within_item(panel: DataFrame, draws: int, seed: int) -> DataFrame:
+def permuted_within_item(panel: DataFrame, draws: int, seed: int, start: int = 0) -> DataFrame:
     """(b, item, unit, y_true, y_pred): each draw deals an item's truths anew among its units; the values stay the same."""
-    p = checkpointed(panel.select("item", "unit", "y_true", "y_pred")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    p = checkpointed(panel.select("item", "unit", "y_true", "y_pred")).withColumn("b", F.explode(F.sequence(F.lit(start), F.lit(draws - 1))))
     p = dealt(p, ["b", "item"], F.md5(F.concat_ws(":", F.lit(f"{seed} slot"), "b", "item", "unit")), "slot")
     p = checkpointed(dealt(p, ["b", "item"], F.md5(F.concat_ws(":", F.lit(seed), "b", "item", "unit")), "dest"))
     given = p.select("b", "item", F.col("dest").alias("slot"), "y_true")
     return p.select("b", "item", "unit", "slot", "y_pred").join(given, ["b", "item", "slot"]).select("b", "item", "unit", "y_true", "y_pred")
 
 
+def hash_order(texts: list[bytes], prefix: bytes) -> np.ndarray:
+    """The rows in the order of the md5 of their texts after ``prefix``."""
+    from hashlib import md5
+
+    h = np.frombuffer(b"".join([md5(prefix + t, usedforsecurity=False).digest() for t in texts]), ">u8").reshape(-1, 2).astype("u8")
+    order = np.argsort(h[:, 0], kind="stable")
+    first = h[order, 0]
+    return np.lexsort((h[:, 1], h[:, 0])) if (first[1:] == first[:-1]).any() else order
+
+
+def dealt_sums(panel: DataFrame, start: int, end: int, seed: int, units: int, min_n: int = 3) -> DataFrame:
+    """(b, xy, xx, yy, n) of draws ``start`` to ``end``: summed products of the centred ranks that ``interaction_rho`` correlates.
+
+    An item's draws are columns of one matrix; rows go once to their unit, whose means are taken off, and once back.
+    """
+    draws = list(range(start, end))  # -1 is the panel as it is
+    kind = panel.schema["item"].dataType.simpleString()
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, texts = pdf["y_true"].to_numpy(float), [k.encode() for k in pdf["key"]]
+        out = np.empty((len(t), len(draws)))
+        for j, b in enumerate(draws):
+            out[hash_order(texts, f"{seed} slot:{b}:".encode()) if b >= 0 else slice(None), j] = t[hash_order(texts, f"{seed}:{b}:".encode())] if b >= 0 else t
+        return pd.DataFrame({"item": pdf["item"], "unit": pdf["unit"], "t": list(out), "q": pdf["y_pred"]})
+
+    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, _ = pd.factorize(pdf["unit"])
+        n, t, q = np.bincount(code), np.stack(pdf["t"].to_numpy()), pdf["q"].to_numpy(float)
+        means = np.column_stack([np.bincount(code, weights=c) for c in t.T]) / n[:, None]
+        return pd.DataFrame({"item": pdf["item"], "t": list(t - means[code]), "q": q - (np.bincount(code, weights=q) / n)[code]})
+
+    def grid(x: np.ndarray) -> pd.DataFrame:
+        x = x * 10.0**GRID
+        return pd.DataFrame(np.trunc(x + np.copysign(0.5, x)))
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        if n < min_n:
+            return pd.DataFrame(columns=["b", "xy", "xx", "yy", "n"])
+        x = grid(np.stack(pdf["t"].to_numpy())).rank().to_numpy() - (n + 1) / 2
+        y = grid(pdf["q"].to_numpy(float)[:, None]).rank().to_numpy() - (n + 1) / 2
+        return pd.DataFrame({"b": draws, "xy": (x * y).sum(0), "xx": (x * x).sum(0), "yy": float((y * y).sum()), "n": n})
+
+    unit = panel.schema["unit"].dataType.simpleString()
+    p = panel.withColumn("key", F.concat_ws(":", "item", "unit")).groupBy("item").applyInPandas(deal, f"item {kind}, unit {unit}, t array<double>, q double")
+    p = p.groupBy(F.pmod(F.xxhash64("unit"), F.lit(units))).applyInPandas(centre, f"item {kind}, t array<double>, q double")
+    p = p.groupBy("item").applyInPandas(rank, "b int, xy double, xx double, yy double, n long")
+    return p.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "n")])
+
+
+def null_rhos(panel: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(b, interaction_rho): of each draw, and of the panel itself as b = -1; few draws at a time, whose files are then let go.
+
+    Items of more than HOT_ITEM rows, and panels with nulls or infinite numbers, are ranked by ranges in Spark.
+    """
+    spark, panel = panel.sparkSession, checkpointed(panel.select("item", "unit", "y_true", "y_pred"))
+    odd = F.col("item").isNull() | F.col("unit").isNull() | ~F.coalesce(F.abs(F.col("y_true")) + F.abs(F.col("y_pred")) < float("inf"), F.lit(False))
+    sizes = panel.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.max(odd).alias("odd")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("odd").alias("odd")).first()
+    n, step = sizes["n"] or 0, max(1, AT_ONCE // max(1, sizes["n"] or 0))
+    by_ranges = n == 0 or sizes["odd"] or sizes["most"] > HOT_ITEM
+    if not by_ranges:
+        spread = with_group(panel, ["unit"], _m=F.avg("y_pred")).agg(F.stddev_pop(F.col("y_pred") - F.col("_m")) > 1e-9 * F.stddev_pop("y_pred")).first()[0]
+    got = []
+    for start in range(-1, draws, step):
+        end = min(draws, start + step)
+        if by_ranges:
+            own = panel.select(F.lit(-1).alias("b"), "item", "unit", "y_true", "y_pred")
+            dealt_anew = permuted_within_item(panel, end, seed, max(start, 0)) if end > 0 else own.limit(0)
+            got += [tuple(r) for r in interaction_rho(own.unionByName(dealt_anew) if start < 0 else dealt_anew, "b").select("b", "interaction_rho").collect()]
+        else:
+            for r in dealt_sums(panel, start, end, seed, units=max(1, n * (end - start) // 2_000_000)).collect():  # a row a draw
+                flat = not spread or min(r["xx"], r["yy"]) / r["n"] < 1e-24
+                got.append((r["b"], 0.0 if flat else r["xy"] / (r["xx"] * r["yy"]) ** 0.5))
+        if end < draws:
+            spark._jvm.System.gc()  # shuffles that nothing refers to are removed
+    return spark.createDataFrame(got, "b int, rho double").select("b", F.round("rho", 6).alias("interaction_rho"))
+
+
 def permutation_p(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     """(interaction_rho, p, draws): the interaction, and the share of permuted panels that reach it."""
-    own = panel.select(F.lit(-1).alias("b"), "item", "unit", "y_true", "y_pred")
-    r = interaction_rho(own.unionByName(permuted_within_item(panel, draws, seed)), "b")
+    r = null_rhos(panel, draws, seed)
     obs = r.where("b = -1").select(F.col("interaction_rho").alias("obs"))
     return r.where("b >= 0").crossJoin(F.broadcast(obs)).agg(F.first("obs").alias("interaction_rho"), F.round(F.avg((F.col("interaction_rho") >= F.col("obs")).cast("double")), 6).alias("p"), F.count(F.lit(1)).alias("draws"))
 

@@ -342,3 +342,14 @@ def test_fidelity_copies_few_blocks_and_finds_the_same(spark, monkeypatch):
     assert [x[:2] for x in whole] == [x[:2] for x in again] and np.allclose([x[2:] for x in whole], [x[2:] for x in again])
     # 180,000 rows of 15 numbers are copied for a handful of blocks, not for 352
     assert math.ceil(180_000 / max(512, deltas.CELLS // 15)) == 6
+
+
+def test_draws_in_batches_and_by_ranges_are_the_same(spark, monkeypatch):
+    r = random.Random(3)
+    panel = spark.createDataFrame([(u, f"i{i}", round(r.random(), 2), round(r.random(), 1)) for u in range(40) for i in range(5) if r.random() < 0.9], "unit long, item string, y_true double, y_pred double")
+    whole = sorted(map(tuple, controls.null_rhos(panel, 6, 7).collect()))
+    monkeypatch.setattr(controls, "AT_ONCE", 500)
+    assert sorted(map(tuple, controls.null_rhos(panel, 6, 7).collect())) == whole
+    monkeypatch.setattr(controls, "HOT_ITEM", 10)
+    assert sorted(map(tuple, controls.null_rhos(panel, 6, 7).collect())) == whole
+    assert [b for b, _ in whole] == list(range(-1, 6))
