@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,46 +49,92 @@ def hash_order(texts: list[bytes], prefix: bytes) -> np.ndarray:
     return np.lexsort((h[:, 1], h[:, 0])) if (first[1:] == first[:-1]).any() else order
 
 
-def dealt_sums(panel: DataFrame, start: int, end: int, seed: int, units: int, min_n: int = 3) -> DataFrame:
-    """(b, xy, xx, yy, n) of draws ``start`` to ``end``: summed products of the centred ranks that ``interaction_rho`` correlates.
+def let_go(spark: SparkSession) -> None:
+    """Shuffles and checkpoints that nothing refers to any more are removed now, not when the driver happens to collect.
 
-    An item's draws are columns of one matrix; rows go once to their unit, whose means are taken off, and once back.
+    Python tells the JVM once a second which of its objects are free.
     """
-    draws = list(range(start, end))  # -1 is the panel as it is
-    kind = panel.schema["item"].dataType.simpleString()
+    gc.collect()
+    time.sleep(1.2)
+    spark._jvm.System.gc()
+
+
+def dealt_truths(panel: DataFrame, draws: list[int], seed: int, *carried: str) -> DataFrame:
+    """(item, unit, t, carried): ``t`` holds the truth that each of ``draws`` deals to the row within its item; draw -1 is the panel as it is."""
+    kept = panel.select("item", "unit", *carried)
+    columns = kept.columns
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         t, texts = pdf["y_true"].to_numpy(float), [k.encode() for k in pdf["key"]]
         out = np.empty((len(t), len(draws)))
         for j, b in enumerate(draws):
             out[hash_order(texts, f"{seed} slot:{b}:".encode()) if b >= 0 else slice(None), j] = t[hash_order(texts, f"{seed}:{b}:".encode())] if b >= 0 else t
-        return pd.DataFrame({"item": pdf["item"], "unit": pdf["unit"], "t": list(out), "q": pdf["y_pred"]})
+        return pdf[columns].assign(t=list(out))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", t array<double>"
+    return panel.select(*columns, "y_true", F.concat_ws(":", "item", "unit").alias("key")).groupBy("item").applyInPandas(deal, shape)
+
+
+def paired_sums(rows: DataFrame, pairs: list[tuple[int, int, int]], units: int, min_n: int = 3) -> DataFrame:
+    """(b, xy, xx, yy, n): summed products of the centred ranks that ``interaction_rho`` correlates, for each of many panels at once.
+
+    ``rows``: item, unit, and arrays t and q of truths and predictions; a panel (b, i, j) has the truth t[i] and the
+    prediction q[j], of the rows that have q[j], which is NaN elsewhere.  Panels are columns of one matrix; rows go once
+    to their unit, whose means are taken off, and once back to their item.
+    """
+    kind = rows.schema["item"].dataType.simpleString()
+    names, at_t, at_q = [list(c) for c in zip(*pairs, strict=True)]
+    used = sorted(set(at_q))
+    side = [used.index(j) for j in at_q]
 
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         code, _ = pd.factorize(pdf["unit"])
-        n, t, q = np.bincount(code), np.stack(pdf["t"].to_numpy()), pdf["q"].to_numpy(float)
-        means = np.column_stack([np.bincount(code, weights=c) for c in t.T]) / n[:, None]
-        return pd.DataFrame({"item": pdf["item"], "t": list(t - means[code]), "q": q - (np.bincount(code, weights=q) / n)[code]})
-
-    def grid(x: np.ndarray) -> pd.DataFrame:
-        x = x * 10.0**GRID
-        return pd.DataFrame(np.trunc(x + np.copysign(0.5, x)))
+        t, q = np.stack(pdf["t"].to_numpy()), np.stack(pdf["q"].to_numpy())[:, used]
+        have = ~np.isnan(q)
+        n = np.maximum(1, np.column_stack([np.bincount(code, weights=c) for c in have.T]))
+        x, y = np.empty((len(t), len(pairs))), np.empty(q.shape)
+        for j in range(len(used)):
+            y[:, j] = q[:, j] - (np.bincount(code, weights=np.where(have[:, j], q[:, j], 0.0)) / n[:, j])[code]
+        for c, (i, j) in enumerate(zip(at_t, side, strict=True)):
+            x[:, c] = np.where(have[:, j], t[:, i] - (np.bincount(code, weights=np.where(have[:, j], t[:, i], 0.0)) / n[:, j])[code], np.nan)
+        return pd.DataFrame({"item": pdf["item"], "x": list(x), "y": list(y)})
+
+    def ranks(column: pd.Series) -> np.ndarray:
+        v = np.stack(column.to_numpy()) * 10.0**GRID
+        r = pd.DataFrame(np.trunc(v + np.copysign(0.5, v))).rank().to_numpy()
+        return r - ((~np.isnan(r)).sum(0) + 1) / 2
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        if n < min_n:
-            return pd.DataFrame(columns=["b", "xy", "xx", "yy", "n"])
-        x = grid(np.stack(pdf["t"].to_numpy())).rank().to_numpy() - (n + 1) / 2
-        y = grid(pdf["q"].to_numpy(float)[:, None]).rank().to_numpy() - (n + 1) / 2
-        return pd.DataFrame({"b": draws, "xy": (x * y).sum(0), "xx": (x * x).sum(0), "yy": float((y * y).sum()), "n": n})
-
-    unit = panel.schema["unit"].dataType.simpleString()
-    p = panel.withColumn("key", F.concat_ws(":", "item", "unit")).groupBy("item").applyInPandas(deal, f"item {kind}, unit {unit}, t array<double>, q double")
-    p = p.groupBy(F.pmod(F.xxhash64("unit"), F.lit(units))).applyInPandas(centre, f"item {kind}, t array<double>, q double")
+        x, y = ranks(pdf["x"]), ranks(pdf["y"])
+        n = (~np.isnan(y)).sum(0)
+        n, y = np.where(n < min_n, 0, n), np.where(np.isnan(y) | (n < min_n), 0.0, y)
+        x = np.where(np.isnan(x), 0.0, x) * (n[side] > 0)
+        xy = [(x[:, c] * y[:, j]).sum() for c, j in enumerate(side)]
+        return pd.DataFrame({"b": names, "xy": xy, "xx": (x * x).sum(0), "yy": (y * y).sum(0)[side], "n": n[side]})
+
+    p = rows.groupBy(F.pmod(F.xxhash64("unit"), F.lit(units))).applyInPandas(centre, f"item {kind}, x array<double>, y array<double>")
     p = p.groupBy("item").applyInPandas(rank, "b int, xy double, xx double, yy double, n long")
     return p.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "n")])
 
 
+def rho_of(sums: Row, spread: bool) -> float:
+    """The correlation of a row of ``paired_sums``; 0 where a side is flat."""
+    flat = not spread or min(sums["xx"], sums["yy"]) / sums["n"] < 1e-24
+    return 0.0 if flat else sums["xy"] / (sums["xx"] * sums["yy"]) ** 0.5
+
+
+def keeps_spread(q: str) -> Column:
+    """Whether predictions less their unit's mean ``_m`` are more than rounding dust."""
+    return F.stddev_pop(F.col(q) - F.col("_m")) > 1e-9 * F.stddev_pop(q)
+
+
+def dealt_sums(panel: DataFrame, start: int, end: int, seed: int, units: int, min_n: int = 3) -> DataFrame:
+    """(b, xy, xx, yy, n) of draws ``start`` to ``end``; -1 is the panel as it is."""
+    draws = list(range(start, end))
+    rows = dealt_truths(panel.withColumn("q", F.array("y_pred")), draws, seed, "q")
+    return paired_sums(rows, [(b, i, 0) for i, b in enumerate(draws)], units, min_n).where("n > 0")
+
+
 def null_rhos(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     """(b, interaction_rho): of each draw, and of the panel itself as b = -1; few draws at a time, whose files are then let go.
 
@@ -97,7 +146,7 @@ def null_rhos(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     n, step = sizes["n"] or 0, max(1, AT_ONCE // max(1, sizes["n"] or 0))
     by_ranges = n == 0 or sizes["odd"] or sizes["most"] > HOT_ITEM
     if not by_ranges:
-        spread = with_group(panel, ["unit"], _m=F.avg("y_pred")).agg(F.stddev_pop(F.col("y_pred") - F.col("_m")) > 1e-9 * F.stddev_pop("y_pred")).first()[0]
+        spread = with_group(panel, ["unit"], _m=F.avg("y_pred")).agg(keeps_spread("y_pred")).first()[0]
     got = []
     for start in range(-1, draws, step):
         end = min(draws, start + step)
@@ -107,10 +156,9 @@ def null_rhos(panel: DataFrame, draws: int, seed: int) -> DataFrame:
             got += [tuple(r) for r in interaction_rho(own.unionByName(dealt_anew) if start < 0 else dealt_anew, "b").select("b", "interaction_rho").collect()]
         else:
             for r in dealt_sums(panel, start, end, seed, units=max(1, n * (end - start) // 2_000_000)).collect():  # a row a draw
-                flat = not spread or min(r["xx"], r["yy"]) / r["n"] < 1e-24
-                got.append((r["b"], 0.0 if flat else r["xy"] / (r["xx"] * r["yy"]) ** 0.5))
+                got.append((r["b"], rho_of(r, spread)))
         if end < draws:
-            spark._jvm.System.gc()  # shuffles that nothing refers to are removed
+            let_go(spark)
     return spark.createDataFrame(got, "b int, rho double").select("b", F.round("rho", 6).alias("interaction_rho"))
 
 

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.ranks import leave_one_out_mean
 from panelwright.operators import models as L
+from panelwright.operators.controls import let_go
 from panelwright.operators.matrix import along, reindexed, scaled, z_scored
 from panelwright.operators.splits import hashed_folds
 from panelwright.session import checkpointed
 
 
 CELLS = 500_000  # numbers of a block of rows that are compared with all others
+AT_ONCE = 20_000_000  # cells whose means are made before their files are let go
 TILE = 256  # rows whose comparisons are held at once, with four times as many
 
 
@@ -31,14 +33,24 @@ def real_deltas(cells: DataFrame, to: float = 1e4) -> DataFrame:
     """Log-scaled pseudobulk of every treatment less that of the same line's controls; lines without controls have none.
 
     ``cells``: cell, line, drug, is_control, feature, value.  A feature missing on one side counts as zero there.
+    Many cells are read in parts of the lines, each with all of a line's cells.
     """
 
-    def logs(g: DataFrame, *keys: str) -> DataFrame:
-        s = scaled(g.withColumn("sample", F.struct(*keys)), to, log=True)
-        return s.select(*[F.col(f"sample.{k}").alias(k) for k in keys], "feature", "value")
-
-    treated = logs(pseudobulk(cells.where(~F.col("is_control")), "line", "drug"), "line", "drug")
-    control = logs(pseudobulk(cells.where("is_control"), "line"), "line").withColumnRenamed("value", "base")
+    # both sides in one pass: a control's rows have no drug
+    side = cells.where("line IS NOT NULL AND is_control IS NOT NULL AND (is_control OR drug IS NOT NULL)").withColumn("drug", F.when(~F.col("is_control"), F.col("drug")))
+    keys = ["line", "is_control", "drug"]
+    n = checkpointed(side.groupBy(*keys).agg(F.countDistinct("cell").alias("n"))).toDF("_l", "_c", "_d", "n")
+    logs, parts = None, -(-(n.agg(F.sum("n")).first()[0] or 1) // AT_ONCE)
+    for i in range(parts):  # of all lines
+        if parts > 1:
+            let_go(cells.sparkSession)
+        part = side if parts == 1 else side.where(F.pmod(F.xxhash64("line"), F.lit(parts)) == i)
+        total = part.groupBy(*keys, "feature").agg(F.sum("value").alias("total"))
+        mean = total.join(n, (F.col("line") == F.col("_l")) & (F.col("is_control") == F.col("_c")) & F.col("drug").eqNullSafe(F.col("_d")))
+        one = checkpointed(scaled(mean.select(F.struct(*keys).alias("sample"), "feature", (F.col("total") / F.col("n")).alias("value")), to, log=True).select("sample.*", "feature", "value"))
+        logs = one if logs is None else logs.unionByName(one)
+        del total, mean
+    treated, control = logs.where(~F.col("is_control")).drop("is_control"), logs.where("is_control").select("line", "feature", F.col("value").alias("base"))
     pairs = treated.select("line", "drug").distinct().join(control, "line")
     full = treated.join(control.select("line").distinct(), "line", "left_semi").join(pairs, ["line", "drug", "feature"], "full")
     return full.select("line", "drug", "feature", (F.coalesce("value", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))).alias("value"))

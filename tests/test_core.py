@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import text as T
 from panelwright.functions.ranks import table_avg_rank
-from panelwright.operators import controls, deltas, matrix, metrics, models, relational, selection, signatures, splits
+from panelwright.operators import controls, deltas, matrix, metrics, models, relational, scores, selection, signatures, splits
 
 PANEL = "unit string, item string, y_true double, y_pred double"
 
@@ -353,3 +353,38 @@ def test_draws_in_batches_and_by_ranges_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(controls, "HOT_ITEM", 10)
     assert sorted(map(tuple, controls.null_rhos(panel, 6, 7).collect())) == whole
     assert [b for b, _ in whole] == list(range(-1, 6))
+
+
+def test_signature_draws_are_columns_and_the_same_as_rows(spark, monkeypatch):
+    r = random.Random(5)
+    units, items, features = range(30), ["i1", "i2", "i3"], [f"f{k}" for k in range(7)]
+    made = spark.createDataFrame([(u, i, f, r.random()) for u in units for i in items for f in features if r.random() < 0.8], "line long, drug string, feature string, value double")
+    design = spark.createDataFrame([(u, i, round(r.random(), 1)) for u in units for i in [*items, "i4"] if r.random() < 0.9], "unit long, item string, y_true double")
+    sets = spark.createDataFrame([("a", "f0", 1), ("a", "f1", 1), ("b", "f2", 1), ("b", "f3", -1), ("c", "f4", 1), ("d", "f9", 1)], "signature string, feature string, direction int")
+
+    def scored(n):
+        return sorted(map(tuple, scores.score_signatures(made.limit(n), design, sets, 5, 4, 3).collect()))
+
+    whole = 10**6
+    with monkeypatch.context() as m:
+        m.setattr(controls, "HOT_ITEM", 1)  # drawn as rows
+        want = scored(whole)
+    with monkeypatch.context() as m:
+        m.setattr(controls, "permuted_within_item", None)  # a draw's rows are not made
+        assert scored(whole) == want
+        m.setattr(controls, "AT_ONCE", 300)
+        assert scored(whole) == want
+    assert [x[:2] for x in want] == [("a", 2), ("b", 2), ("c", 1)] and want[0][5] == want[1][5]  # of one size, with the same random sets
+    assert scored(0) == []
+
+
+def test_real_deltas_in_parts_are_the_same(spark, monkeypatch):
+    r = random.Random(6)
+    drug = {0: "d0", 1: "d1", 2: None}
+    rows = [(f"c{c}", c % 7 if c % 50 else None, drug[c % 3], None if c % 41 == 0 else c % 4 == 0, f"f{r.randrange(4)}", float(r.randrange(5))) for c in range(400) for _ in range(2)]
+    cells = spark.createDataFrame(rows, "cell string, line long, drug string, is_control boolean, feature string, value double")
+    want = {tuple(x[:3]): x[3] for x in deltas.real_deltas(cells).collect()}
+    monkeypatch.setattr(deltas, "AT_ONCE", 90)
+    got = {tuple(x[:3]): x[3] for x in deltas.real_deltas(cells).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and {k[1] for k in got} == {"d0", "d1"}
+    assert deltas.real_deltas(cells.limit(0)).count() == 0
